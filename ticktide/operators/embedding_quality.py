@@ -91,8 +91,9 @@ def centroid_similarity(df: DataFrame, stock: str = "Stock", vec: str = "vec", l
     """
     units = centroids(df, stock, vec).withColumn("u", V.unit(F.col("centroid")))
     total = units.agg(V.sum_vector(F.col("u")).alias("s"), F.count(F.lit(1)).alias("n"), F.sum(V.dot(F.col("u"), F.col("u"))).alias("q"))
-    s, n, q = (total.select(c).scalar() for c in ("s", "n", "q"))
-    rows = units.withColumns({"_s": s, "_n": n, "_q": q})
+    rows = units.withColumn("_t", total.select(F.struct("s", "n", "q")).scalar()).select(
+        stock, "u", F.col("_t.s").alias("_s"), F.col("_t.n").alias("_n"), F.col("_t.q").alias("_q")
+    )
     others = V.dot(F.col("u"), F.col("_s")) - V.dot(F.col("u"), F.col("u"))
     average = (V.dot(F.col("_s"), F.col("_s")) - F.col("_q")) / (F.col("_n") * (F.col("_n") - 1))
     return rows.select(
@@ -104,23 +105,26 @@ def centroid_columns(df: DataFrame, anchors: Sequence[str], stock: str = "Stock"
     """Heat-map rows: the cosine of every symbol's centroid to each of the named anchors."""
     c = centroids(df, stock, vec)
     size = V.norm(F.col("centroid"))
+    given = {f"_{i}": c.filter(F.col(stock) == a).select("centroid").scalar() for i, a in enumerate(anchors)}
 
     def to_anchor(name: str) -> Column:
-        a = c.filter(F.col(stock) == name).select("centroid").scalar()
-        return V.dot(F.col("centroid"), a) / (size * V.norm(a) + F.lit(1e-8))
+        return V.dot(F.col("centroid"), F.col(name)) / (size * V.norm(F.col(name)) + F.lit(1e-8))
 
-    return c.select(stock, *[to_anchor(a).alias(a) for a in anchors])
+    return c.withColumns(given).select(stock, *[to_anchor(f"_{i}").alias(a) for i, a in enumerate(anchors)])
 
 
 def cosine_blocks(df: DataFrame, anchors: Sequence[str], stock: str = "Stock", vec: str = "vec") -> DataFrame:
     """Mean of the N x N cosine matrix over the block (symbol, anchor), without forming the matrix."""
     sums = unit_sums(df, [stock], vec)
 
+    given = {
+        f"_{i}": sums.filter(F.col(stock) == a).select(F.struct("s", "n")).scalar() for i, a in enumerate(anchors)
+    }
+
     def block(name: str) -> Column:
-        one = sums.filter(F.col(stock) == name)
-        return V.dot(F.col("s"), one.select("s").scalar()) / (F.col("n") * one.select("n").scalar())
+        return V.dot(F.col("s"), F.col(f"{name}.s")) / (F.col("n") * F.col(f"{name}.n"))
 
-    return sums.select(stock, "n", *[block(a).alias(a) for a in anchors])
+    return sums.withColumns(given).select(stock, "n", *[block(f"_{i}").alias(a) for i, a in enumerate(anchors)])
 
 
 # ---- distances: sampling operators --------------------------------------------------

@@ -46,4 +46,5 @@ def standard_scale(
 
 
 def _single(fitted: DataFrame) -> dict[str, Column]:
-    return {c: fitted.select(c).scalar() for c in ("mean", "std")}
+    both = fitted.select(F.struct("mean", "std")).scalar()
+    return {"mean": both["mean"], "std": both["std"]}

@@ -34,13 +34,18 @@ def kept_news(t: Tables) -> DataFrame:
     return P.shift_target_date(P.dedup_news(t.news()))
 
 
-def scored(t: Tables) -> DataFrame:
+def with_scores(rows: DataFrame) -> DataFrame:
     """Panel rows with a made score per model: a rounded, clipped element of the vector."""
     scores = F.array(*[
         F.struct(F.lit(m).alias("model"), F.least(F.greatest(F.round(F.col("vec")[i] * 2 + 0.5, 3), F.lit(0.0)), F.lit(1.0)).alias("y_prob"))
         for m, i in MODELS.items()
     ])
-    return panel(t).select("Stock", "Target_Date", F.col("Target_Label").alias("y_true"), F.inline(scores))
+    kept = [c for c in ("Stock", "Target_Date", "split") if c in rows.columns]
+    return rows.select(*kept, F.col("Target_Label").alias("y_true"), F.inline(scores))
+
+
+def scored(t: Tables) -> DataFrame:
+    return with_scores(panel(t))
 
 
 PANEL_SQL = "Stock, CAST(Target_Date AS VARCHAR) AS Target_Date, Open, Prev_Close, High, Low, Close, Volume, Target_Label"
