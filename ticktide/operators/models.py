@@ -84,13 +84,14 @@ class Reduced:
 
 def pca_reduce(
     rows: DataFrame, symbols: Sequence[str], vec: str = "vec", variance: float | None = 0.90, k: int | None = None,
-    train: Column | None = None, group: str = "Stock", parallelism: int = 4,
+    train: Column | None = None, group: str = "Stock",
 ) -> Reduced:
     """Project ``vec`` per symbol on the components of its train rows.
 
     Keeps the fewest components whose variance adds up to more than ``variance``, or ``k``.
     Rows must be centred on the train part (see scaling). The covariance is summed by Spark;
-    the driver decomposes one dim x dim matrix per symbol.
+    the driver decomposes one dim x dim matrix per symbol, one at a time, because the JVM's
+    LAPACK does not stand concurrent calls.
     """
 
     def one(symbol: str) -> tuple[str, DataFrame, list[float], int]:
@@ -111,7 +112,7 @@ def pca_reduce(
         out = model.transform(part).withColumn(vec, F.slice(vector_to_array("_p"), 1, keep)).drop("_v", "_p")
         return symbol, out, explained, keep
 
-    done = each(symbols, one, parallelism)
+    done = [one(s) for s in symbols]
     spark = rows.sparkSession
     flat = [(s, i, x) for s, _, ex, _ in done for i, x in enumerate(ex)]
     curve = spark.createDataFrame(flat, f"`{group}` string, component int, ratio double")
@@ -301,7 +302,7 @@ def linear_probe(rows: DataFrame, groups: Sequence[str], order: Column, k: int =
     ``rows``: Stock (a group name), Target_Label, vec.
     """
     scaled = cut_lineage(S.standard_scale(rows, "vec"))
-    reduced = pca_reduce(scaled, groups, k=k, parallelism=parallelism)
+    reduced = pca_reduce(scaled, groups, k=k)
     folded = M.stratified_folds(weighted(reduced.rows), order, folds, first="key")
     ready = cut_lineage(folded.withColumn("label", F.col(LABEL).cast("double")).withColumn("features", array_to_vector("vec")))
     cv = cross_validate(ready, groups, logistic, folds, "probe", parallelism)

@@ -139,9 +139,11 @@ def daily_scoring(t: Tables) -> DataFrame:
 
     feed = t.news().select(
         "Stock", "news_id", "Date", F.col("Title").alias("headline"), F.col("Source").alias("source"),
-        F.col("Date").cast("string").alias("date"), F.col("Link").alias("link"),
+        F.col("Link").alias("link"),
+    ).withColumnRenamed("Date", "day").withColumn("date", F.col("day").cast("string"))
+    snap = daily_scoring_job(
+        t.symbols(), feed, t.doc_vec(), score, report, F.lit("1995-11-06"), [F.desc("day"), F.asc("news_id")]
     )
-    snap = daily_scoring_job(t.symbols(), feed.drop("date").withColumn("date", F.col("Date").cast("string")), t.doc_vec(), score, report, F.lit("1995-11-06"), [F.desc("Date"), F.asc("news_id")])
     p = F.col("prediction")
     return snap.select("Stock", "date", p["news_count"].alias("news_count"), p["recommended"]["model"].alias("model"),
                        p["recommended"]["label"].alias("label"), r(p["recommended"]["probability_up"]).alias("probability_up"))

@@ -51,9 +51,9 @@ def append_news(t: Tables) -> DataFrame:
     return t.spark.read.parquet(sink).groupBy("Stock").agg(F.count("*").alias("n"))
 
 
-@query("x1_news_stream", with_views("feed", "SELECT item_id, Stock, CAST(ts AS VARCHAR) AS ts, Link, Title FROM (" + FIRST + ")"))
+@query("x1_news_stream", with_views("feed", "SELECT item_id, Stock, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, Link, Title FROM (" + FIRST + ")"))
 def news_stream(t: Tables) -> DataFrame:
-    return polled(t).select("item_id", "Stock", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "Link", "Title")
+    return polled(t).select("item_id", "Stock", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "Link", "Title")
 
 
 @query("x2_stream_dedup", with_views("feed", "SELECT item_id, Stock, Link FROM (" + FIRST + ")"))
