@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
@@ -51,6 +52,18 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+ROWS_PER_TASK = 100_000
+
+
+def compact(rows: DataFrame, n: int) -> DataFrame:
+    """Few partitions for the many short passes of a fit: one per ``ROWS_PER_TASK`` of the ``n`` rows."""
+    return rows.coalesce(max(1, -(-n // ROWS_PER_TASK)))
+
+
+def sizes_of(rows: DataFrame) -> dict[str, int]:
+    return {r["Stock"]: r["n"] for r in P.value_counts(rows, "Stock").collect()}
+
+
 # ---- features -----------------------------------------------------------------------
 
 def lagged_prices(panel: DataFrame) -> DataFrame:
@@ -180,10 +193,6 @@ def gradient_boosting(rounds: int = 500, rate: float = 0.05, depth: int = 3, lea
     )
 
 
-def linear_svm(c: float, n: int, iterations: int = 50) -> LinearSVC:
-    return LinearSVC(regParam=1.0 / (c * max(n, 1)), maxIter=iterations, weightCol="weight", standardization=False)
-
-
 def neural_classifier(inputs: int, iterations: int = 100, seed: int = 42) -> MultilayerPerceptronClassifier:
     return MultilayerPerceptronClassifier(layers=[inputs, 32, 16, 2], maxIter=iterations, seed=seed)
 
@@ -203,18 +212,17 @@ Fit = Callable[[str, DataFrame], Model]
 
 
 def fit_each(rows: DataFrame, symbols: Sequence[str], fit: Fit, parallelism: int = 4) -> dict[str, Model]:
-    return dict(zip(symbols, each(symbols, lambda s: fit(s, rows.filter(F.col("Stock") == s)), parallelism)))
+    n = sizes_of(rows)
+    one = lambda s: fit(s, compact(rows.filter(F.col("Stock") == s), n[s]))
+    return dict(zip(symbols, each(symbols, one, parallelism)))
 
 
 def fit_with(estimator: Estimator) -> Fit:
     return lambda symbol, rows: estimator.fit(rows.filter(IN_TRAIN))
 
 
-def probability_up(scored: DataFrame) -> Column:
-    """P(Up); a margin classifier's decision value is put through the logistic curve."""
-    if "probability" in scored.columns:
-        return vector_to_array("probability")[1]
-    return F.lit(1.0) / (F.exp(-vector_to_array("rawPrediction")[1]) + 1.0)
+def probability_up() -> Column:
+    return vector_to_array("probability")[1]
 
 
 def score_batch(models: dict[str, Model], rows: DataFrame, model: str, keep: Sequence[str] = ("Target_Date", "split", LABEL)) -> DataFrame:
@@ -222,13 +230,13 @@ def score_batch(models: dict[str, Model], rows: DataFrame, model: str, keep: Seq
     parts = []
     for symbol, fitted in models.items():
         scored = fitted.transform(rows.filter(F.col("Stock") == symbol))
-        parts.append(scored.select("Stock", *keep, F.lit(model).alias("model"), probability_up(scored).alias("y_prob")))
+        parts.append(scored.select("Stock", *keep, F.lit(model).alias("model"), probability_up().alias("y_prob")))
     return stack(parts)
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
     """Test report with train accuracy, validation accuracy and the overfit gap."""
-    rows = scored.withColumnRenamed(LABEL, "y_true")
+    rows = cut_lineage(scored.withColumnRenamed(LABEL, "y_true"))
     report = M.train_report(rows.filter("split = 'test'"))
     hit = ((F.col("y_prob") >= 0.5).cast("int") == F.col("y_true")).cast("double")
     accuracy = lambda part: half_even(F.avg(F.when(F.col("split") == part, hit)))
@@ -243,15 +251,16 @@ def cross_validate(folded: DataFrame, symbols: Sequence[str], make: Callable[[],
     the test rows are the fold and the train rows all others.
     """
     timed = "role" in folded.columns
+    n = sizes_of(folded)
 
     def one(job: tuple[str, int]) -> DataFrame:
         symbol, i = job
-        mine = folded.filter(F.col("Stock") == symbol)
+        mine = compact(folded.filter(F.col("Stock") == symbol), n[symbol])
         here = F.col("fold") == i
         train = mine.filter(here & (F.col("role") == "train")) if timed else mine.filter(~here)
         test = mine.filter(here & (F.col("role") == "test")) if timed else mine.filter(here)
         scored = make().fit(train).transform(test)
-        return scored.select("Stock", F.lit(f"{name}:{i}").alias("model"), F.col(LABEL).alias("y_true"), probability_up(scored).alias("y_prob"))
+        return scored.select("Stock", F.lit(f"{name}:{i}").alias("model"), F.col(LABEL).alias("y_true"), probability_up().alias("y_prob"))
 
     scored = cut_lineage(stack(each([(s, i) for s in symbols for i in range(folds)], one, parallelism)))
     per_fold = M.roc_auc(scored).join(M.rates(M.confusion_matrix(scored)).select("model", "Stock", "accuracy"), ["model", "Stock"])
@@ -261,24 +270,68 @@ def cross_validate(folded: DataFrame, symbols: Sequence[str], make: Callable[[],
     )
 
 
-def svm_grid_search(
-    rows: DataFrame, symbols: Sequence[str], grid: Sequence[float] = (0.01, 0.1, 1.0, 10.0), folds: int = 5, parallelism: int = 8
-) -> tuple[dict[str, Model], DataFrame]:
-    """Per symbol the C of highest mean AUC over expanding time folds, refitted on train and val rows."""
+GRID = (0.01, 0.1, 1.0, 10.0)
+
+
+def _margin_weights(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float, steps: int = 50) -> np.ndarray:
+    """Squared-hinge linear SVM: ridge regression on the rows inside the margin until they stay the same."""
+    ridge = np.eye(x.shape[1])
+    ridge[-1, -1] = 1e-6  # the last column is the intercept
+    inside, b = np.ones(len(y), dtype=bool), np.zeros(x.shape[1])
+    for _ in range(steps):
+        weighted_x = x[inside] * (2 * c * w[inside])[:, None]
+        b = np.linalg.solve(ridge + weighted_x.T @ x[inside], weighted_x.T @ y[inside])
+        now = y * (x @ b) < 1
+        if (now == inside).all() or not now.any():
+            break
+        inside = now
+    return b
+
+
+def fit_margins(rows: DataFrame, grid: Sequence[float] = GRID) -> DataFrame:
+    """(Stock, fold, C, weights) of every symbol and fold in one job, a group per task.
+
+    A group holds one symbol's train rows, one per trading day.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.column_stack([np.stack(pdf["x"].to_numpy()), np.ones(len(pdf))])
+        y, w = np.where(pdf[LABEL] == 1, 1.0, -1.0), pdf["weight"].to_numpy()
+        key = {"Stock": pdf["Stock"].iloc[0], "fold": pdf["fold"].iloc[0]}
+        return pd.DataFrame([{**key, "C": c, "weights": _margin_weights(x, y, w, c)} for c in grid])
+
+    given = rows.select("Stock", "fold", LABEL, "weight", "x")
+    return given.groupBy("Stock", "fold").applyInPandas(fit, "Stock string, fold int, C double, weights array<double>")
+
+
+def margin_probability(weights: Column, x: Column) -> Column:
+    """Decision value put through the logistic curve; ``weights`` end with the intercept."""
+    return F.lit(1.0) / (F.exp(-V.dot(weights, F.concat(x, F.array(F.lit(1.0))))) + 1.0)
+
+
+def svm_grid_search(rows: DataFrame, grid: Sequence[float] = GRID, folds: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Scored rows of the best C per symbol, refitted on train and val rows; and (Stock, best_C, best_cv_auc).
+
+    Every C is judged by its mean AUC over expanding time folds. All fits are one grouped job.
+    """
+    rows = rows.withColumn("x", vector_to_array("features"))
     fit_on = rows.filter("split <> 'test'")
-    folded = cut_lineage(M.time_series_folds(fit_on, folds))
-    sizes = {r["Stock"]: r["n"] for r in P.value_counts(fit_on, "Stock").collect()}
-    scores = [
-        cross_validate(folded, symbols, lambda c=c: linear_svm(c, max(sizes.values())), folds, f"C={c}", parallelism).withColumn("C", F.lit(float(c)))
-        for c in grid
-    ]
-    best = stack(scores).groupBy("Stock").agg(
-        F.min_by(F.struct("C", "cv_auc_mean"), F.struct(-F.col("cv_auc_mean"), F.col("C"))).alias("b")
-    ).select("Stock", F.col("b.C").alias("best_C"), half_even(F.col("b.cv_auc_mean")).alias("best_cv_auc"))
-    best = cut_lineage(best)
-    chosen = {r["Stock"]: r["best_C"] for r in best.collect()}
-    models = fit_each(rows, symbols, lambda s, part: linear_svm(chosen[s], sizes[s]).fit(part.filter("split <> 'test'")), parallelism)
-    return models, best
+    folded = M.time_series_folds(fit_on, folds).select("Stock", "Target_Date", LABEL, "weight", "x", "fold", "role")
+    refit = fit_on.select("Stock", "Target_Date", LABEL, "weight", "x", F.lit(-1).alias("fold"), F.lit("train").alias("role"))
+    jobs = folded.unionByName(refit)
+    fits = cut_lineage(fit_margins(jobs.filter("role = 'train'"), grid))
+    judged = folded.filter("role = 'test'").join(fits, ["Stock", "fold"])
+    scored = judged.select("Stock", "fold", "C", F.col(LABEL).alias("y_true"), margin_probability(F.col("weights"), F.col("x")).alias("y_prob"))
+    mean = M.roc_auc(cut_lineage(scored), ["Stock", "fold", "C"]).groupBy("Stock", "C").agg(F.avg("auc_roc").alias("auc"))
+    best = cut_lineage(
+        mean.groupBy("Stock").agg(F.min_by(F.struct("C", "auc"), F.struct(-F.col("auc"), F.col("C"))).alias("b"))
+        .select("Stock", F.col("b.C").alias("best_C"), half_even(F.col("b.auc")).alias("best_cv_auc"))
+    )
+    final = fits.filter("fold = -1").join(best, "Stock").filter(F.col("C") == F.col("best_C")).select("Stock", "weights")
+    out = rows.join(final, "Stock").select(
+        "Stock", "Target_Date", "split", LABEL, F.lit("svm").alias("model"), margin_probability(F.col("weights"), F.col("x")).alias("y_prob")
+    )
+    return out, best
 
 
 def feature_names(components: int, prices: Sequence[str] = P.PRICE_COLUMNS, prefix: str = "pca_") -> list[str]:

@@ -59,8 +59,8 @@ def top_k_features(t: Tables) -> DataFrame:
 def svm_grid_search(t: Tables) -> DataFrame:
     rows, symbols = gated(t, 80)
     ready, _ = L.margin_features(rows, symbols)
-    models, best = L.svm_grid_search(ready, symbols)
-    return L.evaluate(L.score_batch(models, ready, "svm")).join(best, "Stock").select(*REPORT, "best_C", "best_cv_auc")
+    scored, best = L.svm_grid_search(ready)
+    return L.evaluate(scored).join(best, "Stock").select(*REPORT, "best_C", "best_cv_auc")
 
 
 @query("m8_cross_validate")
@@ -68,7 +68,7 @@ def cross_validate(t: Tables) -> DataFrame:
     rows, symbols = gated(t)
     ready, _ = L.forest_features(rows, symbols)
     folded = cut_lineage(M.stratified_folds(ready.filter("split <> 'test'"), F.col("Target_Date")))
-    cv = L.cross_validate(folded, symbols, lambda: L.random_forest(trees=100), parallelism=8)
+    cv = L.cross_validate(folded, symbols, lambda: L.random_forest(trees=50), parallelism=8)
     return cv.select("Stock", r("cv_auc_mean", 4), r("cv_auc_std", 4))
 
 
