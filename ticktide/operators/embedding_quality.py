@@ -212,9 +212,10 @@ def _best_in_block(k: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         queries, base = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
-        columns = ["grp", "key", "y", "fold", "cand", "cand_y", "dist"]
+        types = {"grp": object, "key": object, "y": int, "fold": int, "cand": object, "cand_y": int, "dist": float}
+        columns = list(types)
         if queries.empty or base.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame(columns=columns).astype(types)
         q, b = (np.stack(part["u"].to_numpy()) for part in (queries, base))
         base_key, base_y, base_fold = (base[c].to_numpy() for c in ("key", "y", "fold"))
         out = []
@@ -228,7 +229,7 @@ def _best_in_block(k: int):
                 near = np.flatnonzero((d <= edge) & np.isfinite(d))
                 near = near[np.lexsort((base_key[near], d[near]))][:k]
                 out += [(row["grp"], row["key"], row["y"], row["fold"], base_key[j], base_y[j], d[j]) for j in near]
-        return pd.DataFrame(out, columns=columns)
+        return pd.DataFrame(out, columns=columns).astype(types)
 
     return run
 

@@ -16,6 +16,7 @@ from ticktide.plans.dataset import modelling_panel
 from ticktide.plans.oracle import pack as sql_pack
 from ticktide.plans.oracle import with_views
 from ticktide.plans.registry import pack, query, r
+from ticktide.session import scratch
 from ticktide.sources import files as IO
 from ticktide.sources.tables import Tables
 
@@ -55,14 +56,14 @@ PANEL_SQL = "Stock, CAST(Target_Date AS VARCHAR) AS Target_Date, Open, Prev_Clos
 
 @query("s1_read_news", with_views("news", "SELECT Stock, CAST(Date AS VARCHAR) AS Date, Title, Source, Link FROM news"))
 def read_news(t: Tables) -> DataFrame:
-    path = IO.scratch(t.spark, "news")
+    path = scratch(t.spark, "news")
     IO.write_news_csv(t.news().select("Stock", F.col("Date").cast("string"), "Title", "Source", "Link"), path)
     return IO.read_news(t.spark, path)
 
 
 @query("s2_read_prices", with_views("prices", "SELECT Stock, CAST(Date AS VARCHAR) AS Date, Open, High, Low, Close, Volume FROM prices"))
 def read_prices(t: Tables) -> DataFrame:
-    path = IO.scratch(t.spark, "prices")
+    path = scratch(t.spark, "prices")
     bars = t.prices().select("Date", F.concat("Stock", F.lit(".BK")).alias("Ticker"), *P.BAR_COLUMNS)
     bars.write.option("header", True).csv(path)
     return IO.read_prices(t.spark, path)
@@ -70,7 +71,7 @@ def read_prices(t: Tables) -> DataFrame:
 
 @query("s3_read_dataset", with_views("cells", f"SELECT {PANEL_SQL}, {sql_pack('m')} AS vec FROM cells GROUP BY ALL"))
 def read_dataset(t: Tables) -> DataFrame:
-    path = IO.scratch(t.spark, "dataset")
+    path = scratch(t.spark, "dataset")
     wide = V.vector_to_columns(panel(t).drop("n_news"), 64)
     wide.write.option("header", True).csv(path)
     return IO.read_dataset(t.spark, path).withColumn("vec", pack("vec"))
@@ -78,14 +79,14 @@ def read_dataset(t: Tables) -> DataFrame:
 
 @query("s4_write_dataset", with_views("cells", f"SELECT {PANEL_SQL}, {sql_pack('m')} AS vec FROM cells GROUP BY ALL"))
 def write_dataset(t: Tables) -> DataFrame:
-    path = IO.scratch(t.spark, "panel")
+    path = scratch(t.spark, "panel")
     IO.write_dataset(panel(t).drop("n_news"), path)
     return t.spark.read.parquet(path).drop("year").withColumn("vec", pack("vec"))
 
 
 @query("s5_write_news_csv", with_views("news", "SELECT Stock, count(*) AS n, count(DISTINCT Title) AS titles, CAST(sum(length(Title)) AS BIGINT) AS chars FROM news GROUP BY Stock"))
 def write_news_csv(t: Tables) -> DataFrame:
-    path = IO.scratch(t.spark, "export")
+    path = scratch(t.spark, "export")
     IO.write_news_csv(t.news().select("Stock", F.col("Date").cast("string"), "Title", "Source", "Link"), path)
     back = IO.read_news(t.spark, path)
     return back.groupBy("Stock").agg(F.count("*").alias("n"), F.countDistinct("Title").alias("titles"), F.sum(F.length("Title")).alias("chars"))
@@ -93,7 +94,7 @@ def write_news_csv(t: Tables) -> DataFrame:
 
 @query("s7_report_io", with_views("report", "SELECT model, Stock, n_test, accuracy, f1_score, auc_roc, precision_up, recall_up FROM report WHERE model <> 'svm'"))
 def report_io(t: Tables) -> DataFrame:
-    path = IO.scratch(t.spark, "reports")
+    path = scratch(t.spark, "reports")
     report = M.train_report(scored(t)).withColumn("y_prob", F.array(F.lit(0.0)))
     for m in ("lstm", "rf"):
         IO.write_report(report.filter(F.col("model") == m), f"{path}/{m}")

@@ -12,6 +12,7 @@ from ticktide.operators import serving as G
 from ticktide.plans.oracle import with_views
 from ticktide.plans.queries_panel import feed_items, scored
 from ticktide.plans.registry import query
+from ticktide.session import scratch
 from ticktide.sources import files as IO
 from ticktide.sources.tables import Tables
 
@@ -145,7 +146,7 @@ def snapshot(t: Tables) -> DataFrame:
   FROM chosen c LEFT JOIN (SELECT Stock, count(*) AS n FROM stored_items GROUP BY Stock) n ON n.Stock = c.Stock
   LEFT JOIN (SELECT Stock, string_agg(model || ' ' || label, ';' ORDER BY model) AS results FROM latest_signal GROUP BY Stock) r ON r.Stock = c.Stock""", best=BEST, chosen=CHOSEN))
 def prediction_snapshot(t: Tables) -> DataFrame:
-    path = IO.scratch(t.spark, "snapshot")
+    path = scratch(t.spark, "snapshot")
     IO.write_snapshot(snapshot(t), path)
     back = IO.read_snapshot(t.spark, path)
     p = F.col("prediction")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ticktide.plans.oracle import with_views
 from ticktide.plans.registry import query
+from ticktide.session import scratch
 from ticktide.sources import files as IO
 from ticktide.sources.tables import Tables
 from ticktide.streaming import news as N
@@ -26,7 +27,7 @@ def deliveries(t: Tables) -> list[DataFrame]:
 
 def polled(t: Tables, again: bool = False, **options) -> DataFrame:
     """Deliver the feed in three parts; after each, a restarted stream takes what is there."""
-    inbox, sink, state = (IO.scratch(t.spark, n) for n in ("inbox", "stored", "state"))
+    inbox, sink, state = (scratch(t.spark, n) for n in ("inbox", "stored", "state"))
     for part in deliveries(t):
         part.write.mode("append").parquet(inbox)
         if again:
@@ -44,7 +45,7 @@ def seen_link_filter(t: Tables) -> DataFrame:
 
 @query("s6_append_news", with_views("feed", "SELECT Stock, count(*) AS n FROM (" + FIRST + ") GROUP BY Stock"))
 def append_news(t: Tables) -> DataFrame:
-    sink = IO.scratch(t.spark, "stored")
+    sink = scratch(t.spark, "stored")
     for part in deliveries(t):
         N.append_unseen(part, sink, ORDER)
         N.append_unseen(part, sink, ORDER)
@@ -65,7 +66,7 @@ def stream_dedup(t: Tables) -> DataFrame:
 @query("x2_dedup_within_a_day", with_views("feed", "SELECT Link, CAST(1 AS BIGINT) AS n FROM feed GROUP BY Link"))
 def dedup_within_a_day(t: Tables) -> DataFrame:
     """Links carry their hour, so copies lie within the watermark and a single pass drops them all."""
-    inbox, sink, state = (IO.scratch(t.spark, n) for n in ("inbox", "stored", "state"))
+    inbox, sink, state = (scratch(t.spark, n) for n in ("inbox", "stored", "state"))
     t.feed().withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(inbox)
     items = t.spark.readStream.schema(SCHEMA.replace("timestamp_ntz", "timestamp")).parquet(inbox)
     kept = N.stream_dedup(items).writeStream.format("parquet").option("path", sink).option("checkpointLocation", state)

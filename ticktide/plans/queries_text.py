@@ -14,6 +14,7 @@ from ticktide.plans.oracle import pack as sql_pack
 from ticktide.plans.oracle import with_views
 from ticktide.plans.queries_panel import kept_news
 from ticktide.plans.registry import pack, query, r
+from ticktide.session import written
 from ticktide.sources.tables import Tables
 
 
@@ -21,8 +22,13 @@ def articles(t: Tables) -> DataFrame:
     return kept_news(t).select("news_id", "Stock", "Target_Date", X.clean_title(F.col("Title")).alias("Processed"))
 
 
-def train_articles(t: Tables) -> DataFrame:
-    return P.global_train_split(articles(t)).filter("is_train")
+def articles_once(t: Tables) -> DataFrame:
+    """Cleaned articles written once: the split, the fit and the transform all read them."""
+    return written(articles(t), "articles")
+
+
+def train_part(a: DataFrame) -> DataFrame:
+    return P.global_train_split(a).filter("is_train")
 
 
 @query("t1_ngram_counts", with_views("gram_counts", "SELECT news_id, term, tf FROM gram_counts"))
@@ -32,17 +38,18 @@ def ngram_counts(t: Tables) -> DataFrame:
 
 @query("t2_tfidf_fit", with_views("vocabulary", "SELECT term, df, cf, round(idf, 6) AS idf FROM vocabulary"))
 def tfidf_fit(t: Tables) -> DataFrame:
-    return T.tfidf_fit(train_articles(t)).select("term", "df", "cf", r("idf"))
+    return T.tfidf_fit(train_part(articles_once(t))).select("term", "df", "cf", r("idf"))
 
 
 @query("t3_tfidf_transform", with_views("weights", "SELECT news_id, term, round(weight, 6) AS weight FROM weights"))
 def tfidf_transform(t: Tables) -> DataFrame:
-    return T.tfidf_transform(articles(t), T.tfidf_fit(train_articles(t))).select("news_id", "term", r("weight"))
+    a = articles_once(t)
+    return T.tfidf_transform(a, T.tfidf_fit(train_part(a))).select("news_id", "term", r("weight"))
 
 
 @query("t4_top_idf_terms", with_views("vocabulary", "SELECT term, df, round(idf, 6) AS idf FROM vocabulary ORDER BY vocabulary.idf DESC, term LIMIT 20"))
 def top_idf_terms(t: Tables) -> DataFrame:
-    return T.top_idf_terms(T.tfidf_fit(train_articles(t))).select("term", "df", r("idf"))
+    return T.top_idf_terms(T.tfidf_fit(train_part(articles_once(t)))).select("term", "df", r("idf"))
 
 
 @query("t5_top_terms_by_label", with_views("weights articles labelled", """SELECT Target_Label, CAST(place AS INTEGER) AS place, term, round(mw, 6) AS mean_weight, n_articles FROM (
@@ -51,8 +58,8 @@ def top_idf_terms(t: Tables) -> DataFrame:
   JOIN (SELECT Target_Label, count(*) AS n_articles FROM labelled_articles GROUP BY Target_Label) USING (Target_Label) GROUP BY Target_Label, term)) WHERE place <= 10""",
   labelled_articles="SELECT news_id, Target_Label FROM articles a JOIN labelled l ON l.Stock = a.Stock AND l.Date = a.Target_Date"))
 def top_terms_by_label(t: Tables) -> DataFrame:
-    a = articles(t)
-    weights = T.tfidf_transform(a, T.tfidf_fit(train_articles(t)), "Processed", "news_id", "Stock", "Target_Date")
+    a = articles_once(t)
+    weights = T.tfidf_transform(a, T.tfidf_fit(train_part(a)), "Processed", "news_id", "Stock", "Target_Date")
     return T.top_terms_by_label(a, weights, P.label_open_direction(t.prices())).withColumn("mean_weight", r("mean_weight"))
 
 
@@ -64,7 +71,7 @@ def top_terms_by_label(t: Tables) -> DataFrame:
     JOIN (SELECT Stock, Target_Date, count(*) AS n FROM articles GROUP BY ALL) c ON c.Stock = a.Stock AND c.Target_Date = a.Target_Date GROUP BY a.Stock, a.Target_Date, term)
     GROUP BY Stock, Target_Date) v ON v.Stock = d.Stock AND v.Target_Date = d.Target_Date"""))
 def tfidf_daily_dataset(t: Tables) -> DataFrame:
-    out = T.tfidf_daily_dataset(articles(t), P.label_open_direction(t.prices()))
+    out = T.tfidf_daily_dataset(articles_once(t), P.label_open_direction(t.prices()))
     entry = lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"] * 1e6).cast("bigint").cast("string"))
     shown = F.array_join(F.transform(F.map_entries("tfidf"), entry), ",")
     return out.select("Stock", "Target_Date", "Open", "Prev_Close", "Target_Label", "n_news", shown.alias("tfidf"))

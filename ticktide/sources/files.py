@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -28,16 +27,6 @@ SNAPSHOT_SCHEMA = (
 CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder of ``spark.checkpoint.dir`` (local runs: /tmp)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = "/tmp/ticktide-scratch"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_news(spark: SparkSession, path: str | Sequence[str], schema: str = NEWS_SCHEMA) -> DataFrame:
     """Headline CSV, quoted titles may hold line breaks. ``Date`` stays text: it may be unreadable."""
     return spark.read.schema(schema).options(**CSV).csv(path)

@@ -24,6 +24,11 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, df: DataFrame, key: str) -> DataFrame:
+        """Use all cores on inputs with fewer splits than cores; large inputs are left as they are."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
     def symbols(self) -> DataFrame:
         """One row per symbol: rank, symbol, ticker, company name."""
         return self.read("region").select(
@@ -88,7 +93,7 @@ class Tables:
         )
 
     def news(self) -> DataFrame:
-        docs = self.read("documents")
+        docs = self.spread(self.read("documents"), "doc_id")
         day = F.date_add(F.lit("1995-03-01").cast("date"), ((F.col("doc_id") * 37) % 250).cast("int"))
         return (
             docs.withColumn("symbol_rank", F.pmod("n_chars", F.lit(N_SYMBOLS)).cast("int"))
@@ -112,8 +117,8 @@ class Tables:
             .when(F.col("lang") == "de", F.concat(F.lit("https://news.example/"), source, F.lit(" www.x.example "), text))
             .otherwise(text)
         )
-        docs = self.read("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), raw.alias("Title"))
-        pages = self.read("pages").select(
+        docs = self.spread(self.read("documents"), "doc_id").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), raw.alias("Title"))
+        pages = self.spread(self.read("pages"), "page_id").select(
             F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"),
             F.concat(F.col("html"), F.lit(" "), F.col("url"), F.lit(" - "), F.col("url")).alias("Title"),
         )
