@@ -235,14 +235,18 @@ def _best_in_block(k: int):
 
 
 def knn_vote(
-    folded: DataFrame, k: int = 5, key: str = "key", label: str = "y", group: str = "grp", fold: str = "fold", vec: str = "vec", blocks: int = 8
+    folded: DataFrame, k: int = 5, key: str = "key", label: str = "y", group: str = "grp", fold: str = "fold", vec: str = "vec",
+    blocks: int | None = None, rows_per_block: int = 4000,
 ) -> DataFrame:
     """Majority vote of the ``k`` nearest rows (cosine) outside a row's own fold.
 
     Exact on all rows. The rows of a group are cut into ``blocks`` by key hash; each pair of
     blocks is one task that keeps ``k`` candidates per query, and the candidates of a query are
-    then merged. Raise ``blocks`` so that two blocks fit one task.
+    then merged. By default the largest group is counted and cut into blocks of ``rows_per_block``.
     """
+    if blocks is None:
+        largest = folded.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+        blocks = max(1, -(-largest // rows_per_block))
     rows = folded.select(
         F.col(group).alias("grp"), F.col(key).cast("string").alias("key"), F.col(label).cast("int").alias("y"),
         F.col(fold).cast("int").alias("fold"), V.unit(F.col(vec)).alias("u"),

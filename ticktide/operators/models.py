@@ -30,7 +30,7 @@ from ticktide.functions.display import half_even
 from ticktide.operators import metrics as M
 from ticktide.operators import panel as P
 from ticktide.operators import scaling as S
-from ticktide.session import cut_lineage
+from ticktide.session import written
 
 LABEL = "Target_Label"
 
@@ -154,12 +154,12 @@ def _ready(rows: DataFrame, features: Column) -> DataFrame:
         "Stock", "Target_Date", "split", LABEL, "weight", F.col(LABEL).cast("double").alias("label"),
         array_to_vector(features).alias("features"),
     )
-    return cut_lineage(ready.repartition("Stock"))
+    return written(ready)
 
 
 def forest_features(panel: DataFrame, symbols: Sequence[str], variance: float = 0.90) -> tuple[DataFrame, Reduced]:
     """Scaled vector reduced by PCA, then the scaled prices."""
-    rows = cut_lineage(scaled_parts(panel).filter(F.col("Stock").isin(list(symbols))))
+    rows = written(scaled_parts(panel).filter(F.col("Stock").isin(list(symbols))))
     reduced = pca_reduce(rows, symbols, variance=variance, train=F.expr(IN_TRAIN))
     return _ready(reduced.rows, F.concat("vec", "price")), reduced
 
@@ -167,7 +167,7 @@ def forest_features(panel: DataFrame, symbols: Sequence[str], variance: float =
 def margin_features(panel: DataFrame, symbols: Sequence[str], variance: float = 0.95) -> tuple[DataFrame, Reduced]:
     """Vector and prices scaled together, then reduced by PCA."""
     rows = scaled_parts(panel).filter(F.col("Stock").isin(list(symbols))).withColumn("vec", F.concat("vec", "price"))
-    reduced = pca_reduce(cut_lineage(rows), symbols, variance=variance, train=F.expr(IN_TRAIN))
+    reduced = pca_reduce(written(rows), symbols, variance=variance, train=F.expr(IN_TRAIN))
     return _ready(reduced.rows, F.col("vec")), reduced
 
 
@@ -236,7 +236,7 @@ def score_batch(models: dict[str, Model], rows: DataFrame, model: str, keep: Seq
 
 def evaluate(scored: DataFrame) -> DataFrame:
     """Test report with train accuracy, validation accuracy and the overfit gap."""
-    rows = cut_lineage(scored.withColumnRenamed(LABEL, "y_true"))
+    rows = written(scored.withColumnRenamed(LABEL, "y_true"))
     report = M.train_report(rows.filter("split = 'test'"))
     hit = ((F.col("y_prob") >= 0.5).cast("int") == F.col("y_true")).cast("double")
     accuracy = lambda part: half_even(F.avg(F.when(F.col("split") == part, hit)))
@@ -262,7 +262,7 @@ def cross_validate(folded: DataFrame, symbols: Sequence[str], make: Callable[[],
         scored = make().fit(train).transform(test)
         return scored.select("Stock", F.lit(f"{name}:{i}").alias("model"), F.col(LABEL).alias("y_true"), probability_up().alias("y_prob"))
 
-    scored = cut_lineage(stack(each([(s, i) for s in symbols for i in range(folds)], one, parallelism)))
+    scored = written(stack(each([(s, i) for s in symbols for i in range(folds)], one, parallelism)))
     per_fold = M.roc_auc(scored).join(M.rates(M.confusion_matrix(scored)).select("model", "Stock", "accuracy"), ["model", "Stock"])
     return per_fold.groupBy("Stock").agg(
         F.avg("auc_roc").alias("cv_auc_mean"), F.stddev_pop("auc_roc").alias("cv_auc_std"),
@@ -319,11 +319,11 @@ def svm_grid_search(rows: DataFrame, grid: Sequence[float] = GRID, folds: int =
     folded = M.time_series_folds(fit_on, folds).select("Stock", "Target_Date", LABEL, "weight", "x", "fold", "role")
     refit = fit_on.select("Stock", "Target_Date", LABEL, "weight", "x", F.lit(-1).alias("fold"), F.lit("train").alias("role"))
     jobs = folded.unionByName(refit)
-    fits = cut_lineage(fit_margins(jobs.filter("role = 'train'"), grid))
+    fits = written(fit_margins(jobs.filter("role = 'train'"), grid))
     judged = folded.filter("role = 'test'").join(fits, ["Stock", "fold"])
     scored = judged.select("Stock", "fold", "C", F.col(LABEL).alias("y_true"), margin_probability(F.col("weights"), F.col("x")).alias("y_prob"))
-    mean = M.roc_auc(cut_lineage(scored), ["Stock", "fold", "C"]).groupBy("Stock", "C").agg(F.avg("auc_roc").alias("auc"))
-    best = cut_lineage(
+    mean = M.roc_auc(written(scored), ["Stock", "fold", "C"]).groupBy("Stock", "C").agg(F.avg("auc_roc").alias("auc"))
+    best = written(
         mean.groupBy("Stock").agg(F.min_by(F.struct("C", "auc"), F.struct(-F.col("auc"), F.col("C"))).alias("b"))
         .select("Stock", F.col("b.C").alias("best_C"), half_even(F.col("b.auc")).alias("best_cv_auc"))
     )
@@ -354,10 +354,10 @@ def linear_probe(rows: DataFrame, groups: Sequence[str], order: Column, k: int =
 
     ``rows``: Stock (a group name), Target_Label, vec.
     """
-    scaled = cut_lineage(S.standard_scale(rows, "vec"))
+    scaled = written(S.standard_scale(rows, "vec"))
     reduced = pca_reduce(scaled, groups, k=k)
     folded = M.stratified_folds(weighted(reduced.rows), order, folds, first="key")
-    ready = cut_lineage(folded.withColumn("label", F.col(LABEL).cast("double")).withColumn("features", array_to_vector("vec")))
+    ready = written(folded.withColumn("label", F.col(LABEL).cast("double")).withColumn("features", array_to_vector("vec")))
     cv = cross_validate(ready, groups, logistic, folds, "probe", parallelism)
     kept = reduced.variance.filter(F.col("component") < k).groupBy("Stock").agg(F.sum("ratio").alias("pca_variance_explained"))
     return cv.join(kept, "Stock").select(

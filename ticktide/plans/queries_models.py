@@ -13,14 +13,14 @@ from ticktide.plans.queries_panel import panel
 from ticktide.plans.queries_quality import row_key
 from ticktide.plans.registry import pack, query, r
 from ticktide.plans.scoring import daily_scoring_job
-from ticktide.session import cut_lineage
+from ticktide.session import written
 from ticktide.sources.tables import Tables
 
 REPORT = ("model", "Stock", "n_test", "accuracy", "f1_score", "auc_roc", "precision_up", "recall_up", "train_acc", "val_acc", "overfit_gap")
 
 
 def gated(t: Tables, minimum: int = 60) -> tuple[DataFrame, list[str]]:
-    rows = cut_lineage(panel(t))
+    rows = written(panel(t))
     return rows, L.symbols_of(rows, minimum)
 
 
@@ -67,7 +67,7 @@ def svm_grid_search(t: Tables) -> DataFrame:
 def cross_validate(t: Tables) -> DataFrame:
     rows, symbols = gated(t)
     ready, _ = L.forest_features(rows, symbols)
-    folded = cut_lineage(M.stratified_folds(ready.filter("split <> 'test'"), F.col("Target_Date")))
+    folded = written(M.stratified_folds(ready.filter("split <> 'test'"), F.col("Target_Date")))
     cv = L.cross_validate(folded, symbols, lambda: L.random_forest(trees=50), parallelism=8)
     return cv.select("Stock", r("cv_auc_mean", 4), r("cv_auc_std", 4))
 
@@ -93,7 +93,7 @@ def neural_classifier(t: Tables) -> DataFrame:
     plain = ready.withColumn("features", L.vector_to_array("features"))
     before = P.sliding_sequences(plain.drop("split"), window=1)
     weights = L.weighted(before, F.expr(L.IN_TRAIN))
-    seq = cut_lineage(weights.select(
+    seq = written(weights.select(
         "Stock", "Target_Date", "split", L.LABEL, "weight", F.col(L.LABEL).cast("double").alias("label"),
         L.array_to_vector(F.flatten("sequence")).alias("features"),
     ))
@@ -121,7 +121,7 @@ def score_batch(t: Tables) -> DataFrame:
 
 @query("e7_linear_probe")
 def linear_probe(t: Tables) -> DataFrame:
-    rows = cut_lineage(E.rows_enough(E.with_all(panel(t).select("Stock", "Target_Date", L.LABEL, "vec", row_key().alias("key")))))
+    rows = written(E.rows_enough(E.with_all(panel(t).select("Stock", "Target_Date", L.LABEL, "vec", row_key().alias("key")))))
     groups = [x.Stock for x in rows.select("Stock").distinct().orderBy("Stock").collect()]
     return L.linear_probe(rows, groups, E.shuffled(F.col("key"), 42))
 
