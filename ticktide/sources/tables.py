@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # The symbols of the test tables, by rank.
 SYMBOLS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 N_SYMBOLS = len(SYMBOLS)
+BROADCAST_ROWS = 1_000_000  # of two narrow columns; more suppliers are joined by shuffle
 
 
 class Tables:
@@ -50,6 +51,9 @@ class Tables:
             .join(self.symbols().select("symbol_rank", "Stock"), "symbol_rank")
             .select(F.col("s_suppkey").alias("l_suppkey"), "Stock")
         )
+        suppliers = self.read("supplier").count()  # from the file footers
+        if suppliers <= BROADCAST_ROWS:
+            traded_by = F.broadcast(traded_by)
         # l_orderkey, l_linenumber, l_extendedprice, l_quantity packed into one number, so
         # that the first and last price of a day aggregate in fixed-width buffers.
         sequence = F.expr(
