@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ticktide.functions import display, vectors as V
 from ticktide.operators import metrics as M
+from ticktide.operators import models as L
 from ticktide.operators import panel as P
 from ticktide.operators import scaling as S
 
@@ -107,3 +108,18 @@ def test_train_cutoff(spark):
     df = spark.createDataFrame([(DAY + dt.timedelta(i),) for i in range(10)] * 2, "Target_Date date")
     assert P.train_cutoff(df).first().cutoff == DAY + dt.timedelta(7)
     assert P.global_train_split(df).filter("is_train").count() == 16
+
+
+def test_gates(spark):
+    rows = days(3, "A") + days(2, "B")
+    df = spark.createDataFrame(rows, "Stock string, Target_Date date")
+    assert {r.Stock: r.enough for r in P.rows_per_stock(df, 3).collect()} == {"A": True, "B": False}
+    assert {r.Stock for r in P.enough_rows(df, 3).collect()} == {"A"}
+
+
+def test_lagged_prices(spark):
+    rows = [(s, d, float(i)) for i, (s, d) in enumerate(days(3))]
+    df = spark.createDataFrame(rows, "Stock string, Target_Date date, Open double")
+    df = df.withColumns({c: F.col("Open") + 10 for c in P.PRICE_COLUMNS if c != "Open"})
+    got = L.lagged_prices(df).orderBy("Target_Date").collect()
+    assert [(r.Target_Date, r.Open, r.Close) for r in got] == [(DAY + dt.timedelta(1), 0.0, 10.0), (DAY + dt.timedelta(2), 1.0, 11.0)]

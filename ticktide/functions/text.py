@@ -81,10 +81,6 @@ def stop_list(words: Sequence[str], keep: Sequence[str] = KEEP_DATASET) -> list[
     return sorted(set(words) - set(keep))
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, " "), lambda t: t != "")
-
-
 def filter_tokens(text: Column, stopwords: Sequence[str], min_length: int = 2) -> Column:
     """Drop stop-words and tokens shorter than ``min_length``; join the rest with blanks."""
     words = list(stopwords)

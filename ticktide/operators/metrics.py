@@ -41,11 +41,6 @@ def class_weights(train: DataFrame, label: str = "Target_Label", stock: str = "S
     )
 
 
-def weight_column(train: DataFrame, label: str = "Target_Label", stock: str = "Stock", out: str = "weight") -> DataFrame:
-    both = train.join(class_weights(train, label, stock), stock)
-    return both.withColumn(out, F.when(F.col(label) == 1, F.col("weight_1")).otherwise(F.col("weight_0"))).drop("weight_0", "weight_1")
-
-
 def scale_pos_weight(train: DataFrame, label: str = "Target_Label", stock: str = "Stock") -> DataFrame:
     n0, n1 = _count(F.col(label) == 0), _count(F.col(label) == 1)
     return train.groupBy(stock).agg(

@@ -55,7 +55,7 @@ def running_totals(
     rows = _ranges(df, ranges)
     fine = rows.groupBy(*group, COARSE, FINE).agg(*[F.sum(v).alias(v) for v in values])
     coarse = fine.groupBy(*group, COARSE).agg(*[F.sum(v).alias(v) for v in values])
-    w_coarse = Window.partitionBy(*group).orderBy(up(COARSE)) if group else Window.partitionBy(F.lit(0)).orderBy(up(COARSE))
+    w_coarse = Window.partitionBy(*group).orderBy(up(COARSE))
     base = coarse.select(*group, COARSE, *[_earlier(v, w_coarse).alias(f"{v}_base") for v in values])
     w_fine = Window.partitionBy(*group, COARSE).orderBy(up(FINE))
     offsets = (

@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticktide.functions.text import tokens
 from ticktide.operators import panel as P
 
 MAX_TERMS, MIN_DF, MAX_DF = 400, 2, 0.85
@@ -20,7 +19,7 @@ MAX_TERMS, MIN_DF, MAX_DF = 400, 2, 0.85
 
 def word_tokens(text: Column) -> Column:
     """Lower-cased words of at least two characters."""
-    return F.filter(tokens(F.lower(text)), lambda t: F.length(t) >= 2)
+    return F.filter(F.split(F.lower(text), " "), lambda t: F.length(t) >= 2)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

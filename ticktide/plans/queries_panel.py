@@ -248,7 +248,8 @@ def latest_n(t: Tables) -> DataFrame:
 def feed_items(t: Tables, n: int) -> DataFrame:
     feed = t.feed().withColumnsRenamed({"Title": "headline", "event_type": "source", "Link": "link"})
     newest = P.latest_n_per_symbol(feed, n, [F.desc("ts"), F.asc("item_id")])
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0
+    days = F.date_diff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))  # times carry no zone
+    seconds = days * 86400.0 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.extract(F.lit("SECOND"), F.col("ts")).cast("double")
     return newest.select("Stock", "headline", "source", F.date_format("ts", "yyyy-MM-dd").alias("date"), "link", seconds.alias("timestamp"), "item_rank")
 
 
