@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ticktide.operators import metrics as M
 from ticktide.operators import panel as P
 from ticktide.plans.oracle import with_views
-from ticktide.plans.queries_panel import panel, scored, with_scores
+from ticktide.plans.queries_panel import panel_once, scored, scored_once, with_scores
 from ticktide.plans.registry import query, r
 from ticktide.sources.tables import Tables
 
@@ -82,7 +82,7 @@ def metric_summary(t: Tables) -> DataFrame:
 
 def scored_parts(t: Tables) -> DataFrame:
     """Scored rows with the split of their day."""
-    return with_scores(P.chrono_split(panel(t)))
+    return with_scores(P.chrono_split(panel_once(t)))
 
 
 def part_accuracy(rows: DataFrame, part: str, name: str) -> DataFrame:
@@ -137,7 +137,7 @@ def train_report(t: Tables) -> DataFrame:
 
 def two_reports(t: Tables) -> tuple[DataFrame, DataFrame]:
     """A TF-IDF and an embedding report: the scores of rf and svm stand in for the two feature kinds."""
-    report = M.train_report(scored(t))
+    report = M.train_report(scored_once(t))
     tfidf = report.filter((F.col("model") != "svm") & (F.col("Stock") != "ASIA"))
     other = F.when(F.col("model") == "svm", F.lit("rf")).otherwise(F.lit("none"))
     dense = report.filter(F.col("model").isin("svm") & (F.col("Stock") != "EUROPE")).withColumn("model", other)

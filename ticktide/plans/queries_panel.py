@@ -49,6 +49,15 @@ def scored(t: Tables) -> DataFrame:
     return with_scores(panel(t))
 
 
+def panel_once(t: Tables) -> DataFrame:
+    return t.once("panel", lambda: panel(t))
+
+
+def scored_once(t: Tables) -> DataFrame:
+    """For queries that read the scores in several branches."""
+    return with_scores(panel_once(t))
+
+
 PANEL_SQL = "Stock, CAST(Target_Date AS VARCHAR) AS Target_Date, Open, Prev_Close, High, Low, Close, Volume, Target_Label"
 
 # ---- files --------------------------------------------------------------------------
@@ -95,7 +104,7 @@ def write_news_csv(t: Tables) -> DataFrame:
 @query("s7_report_io", with_views("report", "SELECT model, Stock, n_test, accuracy, f1_score, auc_roc, precision_up, recall_up FROM report WHERE model <> 'svm'"))
 def report_io(t: Tables) -> DataFrame:
     path = scratch(t.spark, "reports")
-    report = M.train_report(scored(t)).withColumn("y_prob", F.array(F.lit(0.0)))
+    report = M.train_report(scored_once(t)).withColumn("y_prob", F.array(F.lit(0.0)))
     for m in ("lstm", "rf"):
         IO.write_report(report.filter(F.col("model") == m), f"{path}/{m}")
     paths = {"lstm": f"{path}/lstm", "rf": f"{path}/rf", "svm": f"{path}/missing"}

@@ -10,7 +10,7 @@ from ticktide.operators import metrics as M
 from ticktide.operators import panel as P
 from ticktide.operators import serving as G
 from ticktide.plans.oracle import with_views
-from ticktide.plans.queries_panel import feed_items, scored
+from ticktide.plans.queries_panel import feed_items, scored_once
 from ticktide.plans.registry import query
 from ticktide.session import scratch
 from ticktide.sources import files as IO
@@ -20,7 +20,7 @@ from ticktide.sources.tables import Tables
 def latest_signal(t: Tables) -> DataFrame:
     """Per symbol and model the signal of the newest day; one symbol has none, one lacks a model."""
     newest = P.latest_n_per_symbol(
-        scored(t).withColumn("_key", F.concat_ws("|", "Stock", "model")), 1, [F.desc("Target_Date")], stock="_key"
+        scored_once(t).withColumn("_key", F.concat_ws("|", "Stock", "model")), 1, [F.desc("Target_Date")], stock="_key"
     )
     out = threshold_signal(F.col("y_prob"))
     known = (F.col("Stock") != "MIDDLE EAST") & ~((F.col("Stock") == "EUROPE") & (F.col("model") == "lstm"))
@@ -29,7 +29,7 @@ def latest_signal(t: Tables) -> DataFrame:
 
 def ranked_report(t: Tables) -> DataFrame:
     """A report of two models with the order they are listed in."""
-    report = M.train_report(scored(t)).filter(F.col("model") != "svm")
+    report = M.train_report(scored_once(t)).filter(F.col("model") != "svm")
     return report.withColumn("model_rank", F.when(F.col("model") == "lstm", 0).otherwise(1))
 
 
@@ -85,10 +85,14 @@ SHOWN = """SELECT Stock, headline, source, date, link, item_rank FROM stored_ite
   SELECT Stock, headline, source, date, link, item_rank FROM feed_items WHERE item_rank <= 5 AND Stock NOT IN (SELECT Stock FROM stored_items)"""
 
 
+def bars(t: Tables) -> DataFrame:
+    return t.once("prices", t.prices)
+
+
 def detail(t: Tables, symbol: str) -> DataFrame:
     page = G.stock_detail(
-        symbol, t.symbols(), G.latest_quote(t.symbols(), t.prices()), latest_signal(t), best_result(t),
-        stored_items(t), feed_items(t, 10), G.price_history(t.prices()),
+        symbol, t.symbols(), G.latest_quote(t.symbols(), bars(t)), latest_signal(t), best_result(t),
+        stored_items(t), feed_items(t, 10), G.price_history(bars(t)),
     )
     item = lambda n: F.concat_ws(" ", n["item_rank"].cast("string"), n["headline"], n["source"], n["date"], n["link"])
     day = lambda h: F.concat_ws(" ", h["date"].cast("string"), G.fixed(h["close"], 2))

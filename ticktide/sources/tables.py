@@ -6,9 +6,13 @@ The weekday filter on prices is the trading calendar: markets are closed at week
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticktide.session import written
+
 # The symbols of the test tables, by rank.
 SYMBOLS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 N_SYMBOLS = len(SYMBOLS)
@@ -21,10 +25,17 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._written: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several branches of one query read, written to the shared folder on first use."""
+        if name not in self._written:
+            self._written[name] = written(make(), name)
+        return self._written[name]
+
     def spread(self, df: DataFrame, key: str) -> DataFrame:
         """Use all cores on inputs with fewer splits than cores; large inputs are left as they are."""
         cores = self.spark.sparkContext.defaultParallelism
