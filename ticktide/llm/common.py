@@ -14,7 +14,7 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Most rows that a narrow side may have to be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Bytes that a task turns into arrays at once; a longer text is taken whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -43,6 +43,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     _, ends, data = column.buffers()
     offsets = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    pa.default_memory_pool().release_unused()  # what earlier batches of this worker took
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
