@@ -162,12 +162,11 @@ def _count_of(df: DataFrame, key: list[str], *more: Column) -> DataFrame:
 def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """TEXT and the list of spans (start, end) that are repeated, merged; texts without any are left out."""
     every = written(runs(docs, width), "runs")
-    twice = written(_count_of(every, RUN).filter("times > 1").select(*RUN), "repeated_runs")
-    seeds = every.groupBy("seed").agg(F.min("u1").alias("a"), F.max("u1").alias("b")).filter("a <> b").select("seed")
     # one text for each name: what holds for it holds for all that have the name
-    open_ = every.join(checked(written(seeds, "seeds")), "seed", "left_semi").groupBy(*RUN).agg(
-        *[F.first(c).alias(c) for c in (*TEXT, "lo", "hi", "anchor")]
-    )
+    units = written(_count_of(every, RUN, *[F.first(c).alias(c) for c in (*TEXT, "lo", "hi", "anchor", "seed")]), "units")
+    twice = written(units.filter("times > 1").select(*RUN), "repeated_runs")
+    seeds = units.groupBy("seed").agg(F.count("*").alias("names")).filter("names > 1").select("seed")
+    open_ = units.join(checked(written(seeds, "seeds")), "seed", "left_semi").select(*RUN, *TEXT, "lo", "hi", "anchor")
     firsts = open_ = written(open_, "open_runs")
     found = None
     for size in (n for n in LEVELS if 4 * n <= width):
