@@ -38,19 +38,19 @@ def test_cosines_equal_all_pairs(frame, rows):
 
 def test_silhouette_equals_definition(frame, rows):
     x, y = rows
-    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    d = np.linalg.norm(x[:, None] - x[None], axis=2) ** 2
     s = []
     for i in range(50):
         own, other = (y == y[i]), (y != y[i])
         a, b = d[i, own].sum() / (own.sum() - 1), d[i, other].mean()
         s.append((b - a) / max(a, b))
-    got = E.silhouette(frame, F.col("key")).filter("Stock = 'ALL'").first().silhouette
+    got = E.silhouette(frame).filter("Stock = 'ALL'").first().silhouette
     assert got == pytest.approx(np.mean(s), abs=1e-6)
 
 
 def test_silhouette_of_one_class_is_zero(frame):
     one = frame.withColumn("Target_Label", F.lit(1))
-    assert {r.silhouette for r in E.silhouette(one, F.col("key")).collect()} == {0.0}
+    assert {r.silhouette for r in E.silhouette(one).collect()} == {0.0}
 
 
 @pytest.mark.parametrize("blocks", [1, 3])

@@ -1,3 +1,6 @@
+from ticktide.streaming.news import append_unseen
+from pyspark.errors import AnalysisException
+import pytest
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -80,3 +83,12 @@ def test_feed_puts_missing_times_last(spark):
     assert [r.headline for r in got.collect()] == ["a1", "b2", "a2", "b1"]
     assert [r.headline for r in G.filter_feed(got, "A").collect()] == ["a1", "a2"]
     assert G.filter_feed(got).count() == 4
+
+
+def test_sink_that_cannot_be_read_is_not_taken_for_an_empty_one(spark, tmp_path):
+    sink = str(tmp_path / "sink")
+    spark.createDataFrame([("a",)], "Other string").write.parquet(sink)
+    batch = spark.createDataFrame([("l1", 1)], "Link string, ts int")
+    with pytest.raises(AnalysisException):
+        append_unseen(batch, sink, ["ts"])
+    assert spark.read.parquet(sink).count() == 1

@@ -56,6 +56,14 @@ def numbered(columns: Sequence[str], prefix: str) -> list[str]:
     return sorted(found, key=lambda c: int(c[len(prefix):]))
 
 
+def dimension(df: DataFrame, vec: str = "vec") -> int:
+    """The length of all vectors; refuses vectors of different lengths."""
+    low, high = df.agg(F.min(F.size(vec)), F.max(F.size(vec))).first()
+    if low != high:
+        raise ValueError(f"vectors of {low} to {high} elements")
+    return low or 0
+
+
 def columns_to_vector(df: DataFrame, prefix: str = "vec_", out: str = "vec") -> DataFrame:
     names = numbered(df.columns, prefix)
     if not names:

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from ticktide.functions import vectors as V
 from ticktide.functions.display import half_even
+from ticktide.operators.ordered import hash_ranges, running_totals
+from ticktide.session import written
 
 ALL = "ALL"
 MIN_ROWS = 20
+BROADCAST_GROUPS = 10_000  # one sum of vectors per class each
 
 
 def with_all(df: DataFrame, stock: str = "Stock") -> DataFrame:
@@ -134,21 +137,21 @@ def shuffled(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def _sample(df: DataFrame, group: Sequence[str], key: Column, seed: int, n: int, vec: str) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(shuffled(key, seed), key)
-    return df.select(*group, F.col(vec).alias("v"), F.row_number().over(w).alias("place")).filter(F.col("place") <= n)
+def _places(df: DataFrame, group: Sequence[str], seed: int, vec: str) -> DataFrame:
+    """Every row with its place in a random order of its group, which may be of any size."""
+    rows = df.select(*group, F.col(vec).alias("v"), shuffled(F.col("_key"), seed).alias("_digest"), F.lit(1).alias("one"))
+    return running_totals(rows, group, "_digest", ["one"], hash_ranges(F.col("_digest"))).select(*group, "v", (F.col("one_before") + 1).alias("place"))
 
 
 def l2_quality(
-    df: DataFrame, key: Column, label: str = "Target_Label", stock: str = "Stock", vec: str = "vec", n: int = 300
+    df: DataFrame, key: Column, label: str = "Target_Label", stock: str = "Stock", vec: str = "vec"
 ) -> DataFrame:
-    """Mean L2 distance of up to ``n`` random pairs within and between classes, and Fisher's ratio.
+    """Mean L2 distance of random pairs within and between classes, one for every row that finds a partner.
 
     Two independent random orders of a class are paired place by place, so a row may meet itself.
     """
     every = with_all(df.select(stock, label, F.col(vec), key.alias("_key")), stock)
-    a = _sample(every, [stock, label], F.col("_key"), 1, n, vec)
-    b = _sample(every, [stock, label], F.col("_key"), 2, n, vec)
+    a, b = (_places(every, [stock, label], seed, vec) for seed in (1, 2))
     pairs = (
         a.withColumnRenamed("v", "va").withColumnRenamed(label, "ca")
         .join(b.withColumnRenamed("v", "vb").withColumnRenamed(label, "cb"), [stock, "place"])
@@ -167,42 +170,27 @@ def fisher_ratio(distances: DataFrame) -> DataFrame:
     return distances.withColumn("fisher_ratio", F.when(intra > 0, half_even(F.col("inter_l2") / intra)).otherwise(F.lit(0.0)))
 
 
-def _silhouette_of_sample(x: np.ndarray, y: np.ndarray) -> float:
-    """Mean Euclidean silhouette; rows alone in their class count 0."""
-    classes = np.unique(y)
-    if len(classes) < 2:
-        return 0.0
-    sq = (x * x).sum(axis=1)
-    dist = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2.0 * (x @ x.T), 0.0))
-    np.fill_diagonal(dist, 0.0)
-    sums = np.stack([dist[:, y == c].sum(axis=1) for c in classes], axis=1)
-    sizes = np.array([(y == c).sum() for c in classes], dtype=float)
-    own = np.searchsorted(classes, y)
-    at = np.arange(len(y))
-    a = sums[at, own] / np.maximum(sizes[own] - 1, 1)
-    other = sums / sizes
-    other[at, own] = np.inf
-    b = other.min(axis=1)
-    s = np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-    return float(s.mean())
-
-
-def silhouette(
-    df: DataFrame, key: Column, label: str = "Target_Label", stock: str = "Stock", vec: str = "vec", n: int = 1000
-) -> DataFrame:
-    """Mean silhouette of a random sample of at most ``n`` rows per symbol and for ALL.
+def silhouette(df: DataFrame, label: str = "Target_Label", stock: str = "Stock", vec: str = "vec") -> DataFrame:
+    """Mean silhouette on squared Euclidean distances over all rows, per symbol and for ALL.
 
-    The sample is drawn before the shuffle's window ends, so a task holds at most ``n`` rows a group.
+    The mean squared distance to a class follows from its sum of vectors, of squares and its
+    number of rows, so no pairs are formed. Rows alone in their class, and groups of one class, count 0.
     """
-    every = with_all(df.select(stock, F.col(label).alias("y"), F.col(vec), key.alias("_key")), stock)
-    w = Window.partitionBy(stock).orderBy(shuffled(F.col("_key"), 3), F.col("_key"))
-    drawn = every.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select(stock, "y", F.col(vec).alias("v"))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({stock: [pdf[stock].iloc[0]], "silhouette": [_silhouette_of_sample(x, pdf["y"].to_numpy())]})
-
-    return drawn.groupBy(stock).applyInPandas(score, f"{stock} string, silhouette double")
+    every = with_all(df.select(stock, F.col(label).alias("y"), F.col(vec).alias("v")), stock)
+    sums = every.groupBy(stock, "y").agg(V.sum_vector(F.col("v")).alias("s"), F.count(F.lit(1)).alias("n"), F.sum(V.dot(F.col("v"), F.col("v"))).alias("q"))
+    classes = sums.groupBy(stock).agg(F.collect_list(F.struct("y", "s", "n", "q")).alias("classes"))  # a few classes
+    classes = written(classes, "classes")
+    rows = every.join(F.broadcast(classes) if classes.count() <= BROADCAST_GROUPS else classes, stock).withColumn("x2", V.dot(F.col("v"), F.col("v")))
+    away = F.transform("classes", lambda c: F.struct(
+        (c["y"] == F.col("y")).alias("own"), c["n"].alias("n"),
+        F.greatest(F.col("x2") + (c["q"] - V.dot(F.col("v"), c["s"]) * 2.0) / c["n"], F.lit(0.0)).alias("d"),
+    ))
+    own = F.filter(away, lambda c: c["own"])[0]
+    rows = rows.select(stock, own.alias("own"), F.array_min(F.transform(F.filter(away, lambda c: ~c["own"]), lambda c: c["d"])).alias("b"))
+    a = F.col("own.d") * F.col("own.n") / (F.col("own.n") - 1)
+    larger = F.greatest(a, F.col("b"))
+    score = F.when((F.col("own.n") > 1) & F.col("b").isNotNull() & (larger > 0), (F.col("b") - a) / larger).otherwise(0.0)
+    return rows.groupBy(stock).agg(F.avg(score).alias("silhouette"))
 
 
 # ---- nearest neighbours -------------------------------------------------------------

@@ -30,6 +30,7 @@ from ticktide.functions.display import half_even
 from ticktide.operators import metrics as M
 from ticktide.operators import panel as P
 from ticktide.operators import scaling as S
+from ticktide.operators.ordered import hash_ranges
 from ticktide.session import written
 
 LABEL = "Target_Label"
@@ -45,7 +46,10 @@ def each(items: Iterable, work: Callable, parallelism: int = 4) -> list:
         return list(pool.map(work, items))
 
 
-def stack(frames: Sequence[DataFrame]) -> DataFrame:
+def stack(frames: Sequence[DataFrame], none: DataFrame) -> DataFrame:
+    """All rows of ``frames``; without frames the columns of ``none`` and no rows."""
+    if not frames:
+        return none.filter(F.lit(False))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -99,7 +103,7 @@ def pca_reduce(
     rows: DataFrame, symbols: Sequence[str], vec: str = "vec", variance: float | None = 0.90, k: int | None = None,
     train: Column | None = None, group: str = "Stock",
 ) -> Reduced:
-    """Project ``vec`` per symbol on the components of its train rows.
+    """Turn ``vec`` per symbol into its components on the train rows; symbols without train rows are left out.
 
     Keeps the fewest components whose variance adds up to more than ``variance``, or ``k``.
     Rows must be centred on the train part (see scaling). The covariance is summed by Spark;
@@ -107,10 +111,13 @@ def pca_reduce(
     LAPACK does not stand concurrent calls.
     """
 
-    def one(symbol: str) -> tuple[str, DataFrame, list[float], int]:
+    def one(symbol: str) -> tuple[str, DataFrame, list[float], int] | None:
         part = rows.filter(F.col(group) == symbol).withColumn("_v", array_to_vector(vec))
         fit_on = part if train is None else part.filter(train)
-        dim = len(fit_on.select(vec).first()[0])
+        first = fit_on.select(vec).first()
+        if first is None:
+            return None
+        dim = len(first[0])
         model = PCA(k=dim, inputCol="_v", outputCol="_p").fit(fit_on)
         explained = [float(x) for x in model.explainedVariance]
         keep, total = dim, 0.0
@@ -125,11 +132,11 @@ def pca_reduce(
         out = model.transform(part).withColumn(vec, F.slice(vector_to_array("_p"), 1, keep)).drop("_v", "_p")
         return symbol, out, explained, keep
 
-    done = [one(s) for s in symbols]
+    done = [d for d in map(one, symbols) if d is not None]
     spark = rows.sparkSession
     flat = [(s, i, x) for s, _, ex, _ in done for i, x in enumerate(ex)]
     curve = spark.createDataFrame(flat, f"`{group}` string, component int, ratio double")
-    return Reduced(stack([d for _, d, _, _ in done]), curve, {s: n for s, _, _, n in done})
+    return Reduced(stack([d for _, d, _, _ in done], rows), curve, {s: n for s, _, _, n in done})
 
 
 def variance_curve(variance: DataFrame, group: str = "Stock") -> DataFrame:
@@ -212,9 +219,11 @@ Fit = Callable[[str, DataFrame], Model]
 
 
 def fit_each(rows: DataFrame, symbols: Sequence[str], fit: Fit, parallelism: int = 4) -> dict[str, Model]:
+    """A model per symbol that has rows; symbols of one class have none, as their classes can't be weighted."""
     n = sizes_of(rows)
+    present = [s for s in symbols if s in n]
     one = lambda s: fit(s, compact(rows.filter(F.col("Stock") == s), n[s]))
-    return dict(zip(symbols, each(symbols, one, parallelism)))
+    return dict(zip(present, each(present, one, parallelism)))
 
 
 def fit_with(estimator: Estimator) -> Fit:
@@ -231,7 +240,7 @@ def score_batch(models: dict[str, Model], rows: DataFrame, model: str, keep: Seq
     for symbol, fitted in models.items():
         scored = fitted.transform(rows.filter(F.col("Stock") == symbol))
         parts.append(scored.select("Stock", *keep, F.lit(model).alias("model"), probability_up().alias("y_prob")))
-    return stack(parts)
+    return stack(parts, rows.select("Stock", *keep, F.lit(model).alias("model"), F.lit(0.0).alias("y_prob")))
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
@@ -262,7 +271,8 @@ def cross_validate(folded: DataFrame, symbols: Sequence[str], make: Callable[[],
         scored = make().fit(train).transform(test)
         return scored.select("Stock", F.lit(f"{name}:{i}").alias("model"), F.col(LABEL).alias("y_true"), probability_up().alias("y_prob"))
 
-    scored = written(stack(each([(s, i) for s in symbols for i in range(folds)], one, parallelism)))
+    none = folded.select("Stock", F.lit(name).alias("model"), F.col(LABEL).alias("y_true"), F.lit(0.0).alias("y_prob"))
+    scored = written(stack(each([(s, i) for s in symbols if s in n for i in range(folds)], one, parallelism), none))
     per_fold = M.roc_auc(scored).join(M.rates(M.confusion_matrix(scored)).select("model", "Stock", "accuracy"), ["model", "Stock"])
     return per_fold.groupBy("Stock").agg(
         F.avg("auc_roc").alias("cv_auc_mean"), F.stddev_pop("auc_roc").alias("cv_auc_std"),
@@ -327,8 +337,8 @@ def svm_grid_search(rows: DataFrame, grid: Sequence[float] = GRID, folds: int =
         mean.groupBy("Stock").agg(F.min_by(F.struct("C", "auc"), F.struct(-F.col("auc"), F.col("C"))).alias("b"))
         .select("Stock", F.col("b.C").alias("best_C"), half_even(F.col("b.auc")).alias("best_cv_auc"))
     )
-    final = fits.filter("fold = -1").join(best, "Stock").filter(F.col("C") == F.col("best_C")).select("Stock", "weights")
-    out = rows.join(final, "Stock").select(
+    chosen = fits.filter("fold = -1").join(best, "Stock").filter(F.col("C") == F.col("best_C")).select("Stock", "weights")
+    out = rows.join(chosen, "Stock").select(
         "Stock", "Target_Date", "split", LABEL, F.lit("svm").alias("model"), margin_probability(F.col("weights"), F.col("x")).alias("y_prob")
     )
     return out, best
@@ -356,7 +366,7 @@ def linear_probe(rows: DataFrame, groups: Sequence[str], order: Column, k: int =
     """
     scaled = written(S.standard_scale(rows, "vec"))
     reduced = pca_reduce(scaled, groups, k=k)
-    folded = M.stratified_folds(weighted(reduced.rows), order, folds, first="key")
+    folded = M.stratified_folds(weighted(reduced.rows), order, folds, first="key", ranges=hash_ranges)
     ready = written(folded.withColumn("label", F.col(LABEL).cast("double")).withColumn("features", array_to_vector("vec")))
     cv = cross_validate(ready, groups, logistic, folds, "probe", parallelism)
     kept = reduced.variance.filter(F.col("component") < k).groupBy("Stock").agg(F.sum("ratio").alias("pca_variance_explained"))

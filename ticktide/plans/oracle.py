@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from ticktide.functions.text import LEGACY_TAG, LEGACY_URL, NOT_WORD, SPACE, TAG, URL
 
-DIM_SQL = "(SELECT max(len(embedding)) FROM embeddings)"
-
 
 def pack(value: str, pos: str = "pos") -> str:
     """A vector held as (pos, value) rows, printed as whole millionths."""

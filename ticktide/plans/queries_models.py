@@ -51,7 +51,7 @@ def top_k_features(t: Tables) -> DataFrame:
     rows, symbols = gated(t)
     ready, reduced = L.forest_features(rows, symbols)
     models = L.fit_each(ready, symbols, L.fit_with(L.random_forest()))
-    names = {s: L.feature_names(reduced.components[s]) for s in symbols}
+    names = {s: L.feature_names(reduced.components[s]) for s in models}
     return L.top_k_features(L.importances(models, names, t.spark)).select("Stock", "place", "feature", r("importance"), "is_price")
 
 
@@ -131,10 +131,11 @@ def daily_scoring(t: Tables) -> DataFrame:
     rows, symbols = gated(t)
     ready, models = logistic_models(rows, symbols)
     report = L.evaluate(L.score_batch(models, ready, "logreg")).withColumn("model_rank", F.lit(0))
-    fitted = L.S.vector_stats(P.chrono_split(rows).filter(L.IN_TRAIN), ["Stock"], "vec")
+    sound = lambda df: df.withColumn("vec", L.V.nan_to_num(F.col("vec")))  # noqa: E731  as in training
+    fitted = L.S.vector_stats(P.chrono_split(sound(rows)).filter(L.IN_TRAIN), ["Stock"], "vec")
 
     def score(pooled: DataFrame) -> DataFrame:
-        scaled = pooled.join(fitted, "Stock").withColumn("features", L.array_to_vector(L.S.apply_scale(F.col("vec"), F.col("mean"), F.col("std"))))
+        scaled = sound(pooled).join(fitted, "Stock").withColumn("features", L.array_to_vector(L.S.apply_scale(F.col("vec"), F.col("mean"), F.col("std"))))
         return L.score_batch(models, scaled, "logreg", keep=()) if models else scaled.select("Stock", F.lit("none").alias("model"), F.lit(0.5).alias("y_prob"))
 
     feed = t.news().select(

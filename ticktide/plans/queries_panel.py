@@ -81,7 +81,8 @@ def read_prices(t: Tables) -> DataFrame:
 @query("s3_read_dataset", with_views("cells", f"SELECT {PANEL_SQL}, {sql_pack('m')} AS vec FROM cells GROUP BY ALL"))
 def read_dataset(t: Tables) -> DataFrame:
     path = scratch(t.spark, "dataset")
-    wide = V.vector_to_columns(panel(t).drop("n_news"), 64)
+    rows = panel(t).drop("n_news")
+    wide = V.vector_to_columns(rows, V.dimension(rows))
     wide.write.option("header", True).csv(path)
     return IO.read_dataset(t.spark, path).withColumn("vec", pack("vec"))
 
@@ -209,9 +210,10 @@ def nan_to_num(t: Tables) -> DataFrame:
     return t.read("embeddings").select("vec_id", pack(V.nan_to_num(spoiled)).alias("vec"))
 
 
-@query("p12_vector_columns", with_views("vectors", f"SELECT vec_id, {sql_pack('x')} AS vec, any_value(x) FILTER (pos = 0) AS first, any_value(x) FILTER (pos = 63) AS last FROM vectors GROUP BY vec_id"))
+@query("p12_vector_columns", with_views("vectors", f"SELECT vec_id, {sql_pack('x')} AS vec, any_value(x) FILTER (pos = 0) AS first, any_value(x) FILTER (pos = (SELECT max(pos) FROM vectors)) AS last FROM vectors GROUP BY vec_id"))
 def vector_columns(t: Tables) -> DataFrame:
-    wide = V.vector_to_columns(t.read("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), 64)
+    rows = t.read("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    wide = V.vector_to_columns(rows, V.dimension(rows))
     back = V.columns_to_vector(wide)
     return back.select("vec_id", pack("vec").alias("vec"), F.col("vec")[0].alias("first"), F.element_at("vec", -1).alias("last"))
 
@@ -355,24 +357,25 @@ SEQUENCE_SQL = """SELECT Stock, CAST(Target_Date AS VARCHAR) AS Target_Date, Tar
   SELECT *, CASE WHEN rn - {w} <= greatest(CAST(floor(n_rows * CAST(0.7 AS DOUBLE)) AS INTEGER) - 1, 1) THEN 'train'
     WHEN rn - {w} <= greatest(CAST(floor(n_rows * CAST(0.7 AS DOUBLE)) AS INTEGER) - 1, 1) + CAST(floor(n_rows * CAST(0.15 AS DOUBLE)) AS INTEGER) THEN 'val' ELSE 'test' END AS split
   FROM (SELECT Stock, Target_Date, Target_Label, CAST(row_number() OVER w AS INTEGER) AS rn, CAST(count(*) OVER (PARTITION BY Stock) AS INTEGER) AS n_rows,
-    {seq} AS seq FROM (SELECT *, CAST(CAST(round(vec[1] * 1e6) AS BIGINT) AS VARCHAR) AS e, CAST(CAST(round(Close * 1e6) AS BIGINT) AS VARCHAR) AS c FROM panel)
+    {seq} AS seq FROM (SELECT *, array_to_string(list_transform(list_concat(vec, [Open, Prev_Close, High, Low, Close, CAST(Volume AS DOUBLE)]),
+      lambda x: CAST(CAST(round(x * 1e6) AS BIGINT) AS VARCHAR)), ',') AS e FROM panel)
     WINDOW w AS (PARTITION BY Stock ORDER BY Target_Date))
   WHERE rn > {w})) WHERE ntr >= 10 AND nte >= 5"""
 
 
 def _sequences(t: Tables, window: int) -> DataFrame:
-    features = panel(t).select("Stock", "Target_Date", "Target_Label", F.array(F.col("vec")[0], F.col("Close")).alias("features"))
+    features = panel(t).select("Stock", "Target_Date", "Target_Label", F.concat("vec", F.array(*[F.col(c).cast("double") for c in ("Open", "Prev_Close", "High", "Low", "Close", "Volume")])).alias("features"))
     seq = P.sliding_sequences(features, window=window)
     return seq.select("Stock", "Target_Date", "Target_Label", "seq_no", "split", F.array_join(F.transform("sequence", pack), ";").alias("sequence"))
 
 
-@query("w3_sliding_sequences", with_views("panel", SEQUENCE_SQL.format(w=1, seq="lag(e) OVER w || ',' || lag(c) OVER w")))
+@query("w3_sliding_sequences", with_views("panel", SEQUENCE_SQL.format(w=1, seq="lag(e) OVER w")))
 def sliding_sequences(t: Tables) -> DataFrame:
     return _sequences(t, 1)
 
 
 @query("w3_sliding_sequences_3", with_views("panel", SEQUENCE_SQL.format(
-    w=3, seq="lag(e, 3) OVER w || ',' || lag(c, 3) OVER w || ';' || lag(e, 2) OVER w || ',' || lag(c, 2) OVER w || ';' || lag(e) OVER w || ',' || lag(c) OVER w")))
+    w=3, seq="lag(e, 3) OVER w || ';' || lag(e, 2) OVER w || ';' || lag(e) OVER w")))
 def sliding_sequences_3(t: Tables) -> DataFrame:
     return _sequences(t, 3)
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ticktide.operators import embedding_quality as E
 from ticktide.operators import metrics as M
+from ticktide.operators import models as L
+from ticktide.operators import scaling as S
 from ticktide.operators.ordered import hash_ranges
 from ticktide.plans.oracle import with_views
 from ticktide.plans.queries_metrics import sql_round
@@ -41,7 +43,7 @@ DRAWN = """SELECT *, row_number() OVER (PARTITION BY grp, Target_Label ORDER BY
 L2 = """SELECT a.grp AS Stock, avg(list_distance(a.vec, b.vec)) FILTER (a.Target_Label = 0 AND b.Target_Label = 0) AS intra_l2_down,
   avg(list_distance(a.vec, b.vec)) FILTER (a.Target_Label = 1 AND b.Target_Label = 1) AS intra_l2_up,
   avg(list_distance(a.vec, b.vec)) FILTER (a.Target_Label = 0 AND b.Target_Label = 1) AS inter_l2
-  FROM drawn a JOIN drawn b ON a.grp = b.grp AND a.p1 = b.p2 WHERE a.p1 <= 300 GROUP BY a.grp"""
+  FROM drawn a JOIN drawn b ON a.grp = b.grp AND a.p1 = b.p2 GROUP BY a.grp"""
 
 
 @query("e3_l2_intra_inter", with_views("both_groups", "SELECT Stock, round(intra_l2_down, 6) AS intra_l2_down, round(intra_l2_up, 6) AS intra_l2_up, round(inter_l2, 6) AS inter_l2 FROM l2", drawn=DRAWN, l2=L2))
@@ -60,13 +62,19 @@ def cosine_blocks(t: Tables) -> DataFrame:
     return E.cosine_blocks(panel(t), SYMBOLS).select("Stock", "n", *[r(s) for s in SYMBOLS])
 
 
-@query("e6_silhouette", with_views("both_groups", """SELECT grp AS Stock, round(avg(CASE WHEN n_own = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM (
-  SELECT a.grp, a.key, sum(CASE WHEN a.Target_Label = b.Target_Label THEN list_distance(a.vec, b.vec) ELSE 0 END) / (count(*) FILTER (a.Target_Label = b.Target_Label) - 1) AS a,
-  avg(list_distance(a.vec, b.vec)) FILTER (a.Target_Label <> b.Target_Label) AS b, count(*) FILTER (a.Target_Label = b.Target_Label) AS n_own
-  FROM drawn a JOIN drawn b ON a.grp = b.grp WHERE a.p <= 1000 AND b.p <= 1000 GROUP BY a.grp, a.key) GROUP BY grp""",
-  drawn="SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5('3:' || key), key) AS p FROM both_groups"))
+SCALED = """SELECT grp, key, Target_Label, list(CASE WHEN d = 0 THEN x - m ELSE (x - m) / d END ORDER BY pos) AS vec FROM (
+  SELECT grp, key, Target_Label, pos, x, avg(x) FILTER (grp = 'ALL') OVER (PARTITION BY pos) AS m, stddev_pop(x) FILTER (grp = 'ALL') OVER (PARTITION BY pos) AS d
+  FROM (SELECT grp, key, Target_Label, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM both_groups)) GROUP BY grp, key, Target_Label"""
+
+
+@query("e6_silhouette", with_views("both_groups", """SELECT grp AS Stock, round(avg(CASE WHEN n_own = 1 OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM (
+  SELECT a.grp, a.key, sum(CASE WHEN a.Target_Label = b.Target_Label THEN list_distance(a.vec, b.vec) ** 2 ELSE 0 END) / nullif(count(*) FILTER (a.Target_Label = b.Target_Label) - 1, 0) AS a,
+  avg(list_distance(a.vec, b.vec) ** 2) FILTER (a.Target_Label <> b.Target_Label) AS b, count(*) FILTER (a.Target_Label = b.Target_Label) AS n_own
+  FROM scaled a JOIN scaled b ON a.grp = b.grp GROUP BY a.grp, a.key) GROUP BY grp""", scaled=SCALED))
 def silhouette(t: Tables) -> DataFrame:
-    return E.silhouette(panel(t), row_key()).select("Stock", r("silhouette"))
+    """On vectors scaled over all rows, as the probes have them."""
+    whole = S.standard_scale(panel(t).select(F.lit(E.ALL).alias("Stock"), F.col("Stock").alias("symbol"), L.LABEL, "vec"), "vec")
+    return E.silhouette(whole.select(F.col("symbol").alias("Stock"), L.LABEL, "vec")).select("Stock", r("silhouette"))
 
 
 def folded(t: Tables) -> DataFrame:

@@ -83,14 +83,14 @@ def read_reports(
     found = None
     for model, path in paths.items():
         try:
-            reader = spark.read.option("multiLine", one_array)
+            reader = spark.read.option("multiLine", one_array).option("mode", "DROPMALFORMED")
             one = (reader.schema(schema) if schema else reader).json(path)
         except AnalysisException:
             continue
         if "Stock" not in one.columns and "stock" not in one.columns:
             continue
         one = one.withColumnRenamed("stock", "Stock") if "stock" in one.columns else one
-        one = one.drop("model").withColumn("model", F.lit(model))
+        one = one.drop("model").withColumn("model", F.lit(model)).filter(F.col("Stock").isNotNull())
         found = one if found is None else found.unionByName(one, allowMissingColumns=True)
     if found is None:
         return spark.createDataFrame([], schema or "model string, Stock string, accuracy double, auc_roc double, f1_score double")

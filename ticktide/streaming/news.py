@@ -31,7 +31,7 @@ def first_per_link(items: DataFrame, order: Sequence[str], link: str = "Link") -
 
 def seen_link_filter(items: DataFrame, stored: DataFrame, order: Sequence[str], link: str = "Link") -> DataFrame:
     """First row per link that ``stored`` does not hold yet."""
-    return first_per_link(items, order, link).join(stored.select(link), link, "left_anti")
+    return first_per_link(items, order, link).join(stored.select(link).distinct(), link, "left_anti")
 
 
 def stream_dedup(items: DataFrame, link: str = "Link", ts: str = "ts", keep: str = "24 hours") -> DataFrame:
@@ -53,8 +53,10 @@ def append_unseen(batch: DataFrame, sink: str, order: Sequence[str], link: str =
         new = first_per_link(batch, order, link)
         try:
             stored = spark.read.parquet(sink).select(link)
-        except AnalysisException:  # nothing stored yet
-            stored = None
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = None  # nothing stored yet
         if stored is not None:
             links = batch.select(link).distinct()
             seen = stored.join(F.broadcast(links) if rows <= BROADCAST_ROWS else links, link, "left_semi").distinct()
