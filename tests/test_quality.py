@@ -92,15 +92,54 @@ def test_pca_keeps_enough_variance(spark):
     x = rng.normal(size=(80, 5)) * np.array([5, 3, 1, 0.2, 0.1])
     x -= x.mean(axis=0)
     df = spark.createDataFrame([("A", [float(v) for v in row]) for row in x], "Stock string, vec array<double>")
-    out = L.pca_reduce(df, ["A"], variance=0.90)
+    out = L.pca_reduce(df, variance=0.90)
     ratio = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
     ratio /= ratio.sum()
     keep = int(np.argmax(np.cumsum(ratio) > 0.90)) + 1
-    assert out.components == {"A": keep} and len(out.rows.first().vec) == keep
+    assert [tuple(r) for r in out.components.collect()] == [("A", keep)] and len(out.rows.first().vec) == keep
+    vectors = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :keep]
+    given = {tuple(r.vec) for r in out.rows.collect()}
+    assert np.allclose(sorted(map(list, np.abs(list(given)))), sorted(np.abs(x @ vectors).tolist()))
     curve = [r.cumulative for r in L.variance_curve(out.variance).orderBy("component").collect()]
     assert curve == pytest.approx(np.cumsum(ratio).tolist(), abs=1e-9)
 
 
+def test_pca_of_many_groups_is_one_plan(spark):
+    """As many jobs for 200 groups as for 2; a group in several tasks, one of one row, one without spread."""
+    rng = np.random.default_rng(3)
+    tracker = spark.sparkContext.statusTracker()
+
+    def run(n: int) -> tuple[dict[str, int], int]:
+        rows = [(f"S{i:03d}", [float(v) for v in rng.normal(size=3)]) for i in range(n) for _ in range(9)]
+        rows += [("one", [1.0, 2.0, 3.0]), ("flat", [1.0, 1.0, 1.0]), ("flat", [1.0, 1.0, 1.0])]
+        df = spark.createDataFrame(rows, "Stock string, vec array<double>").repartition(3)
+        spark.sparkContext.setJobGroup(f"pca{n}", "")
+        out = L.pca_reduce(df, k=2)
+        found = {r.Stock: len(r.vec) for r in out.rows.collect()}
+        jobs = len(tracker.getJobIdsForGroup(f"pca{n}"))
+        spark.sparkContext.setJobGroup("other", "")
+        assert out.rows.count() == len(rows)
+        return found, jobs
+
+    few, jobs_few = run(2)
+    many, jobs_many = run(200)
+    assert len(few) == 4 and len(many) == 202 and set(many.values()) == {2}
+    assert jobs_many <= jobs_few + 2
+
+
+def test_logistic_fits_find_the_minimum(spark):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=(80, 3)), np.ones(80)])
+    y = (x[:, 0] + rng.normal(size=80) > 0).astype(float)
+    w = np.where(y == 1, 2.0, 1.0)
+    b = L._logistic_weights(x, y, w, 0.01, 100)
+    p = 1 / (1 + np.exp(-x @ b))
+    slope = x.T @ (w / w.sum() * (p - y)) + 0.01 * b * np.array([1, 1, 1, 0])
+    assert np.abs(slope).max() < 1e-6
+    alike = L._logistic_weights(x, np.ones(80), np.ones(80), 0.01, 100)  # one class: finite, on its side
+    assert np.isfinite(alike).all() and (x @ alike > 0).all()
+
+
 def test_margin_classifier_separates(spark):
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 60)

@@ -1,8 +1,8 @@
-"""Classifiers per symbol with Spark ML.
+"""Classifiers per symbol.
 
-The features of all symbols come from one grouped plan; only the fits run symbol by
-symbol, several at a time. A symbol's rows are one per trading day, so a fit is small;
-what grows is the number of symbols.
+Features, components, margin and logistic classifiers of all symbols are grouped plans. Only the
+Spark ML learners (trees, nets) are fitted symbol by symbol, several at a time. A symbol's rows
+are one per trading day, so a fit is small; what grows is the number of symbols.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,47 +95,76 @@ def scaled_parts(panel: DataFrame, vec: str = "vec", prices: Sequence[str] = P.P
 class Reduced:
     rows: DataFrame
     variance: DataFrame
-    components: dict[str, int]
+    components: DataFrame
+
+
+def _moments(group: str, vec: str):
+    """Rows, sum and sum of outer products of each run of one group; tasks hold their rows in order of groups."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, s, q = None, 0, None, None
+        line = lambda: pd.DataFrame({group: [now], "n": [n], "s": [s], "q": [q.ravel()]})
+        for frame in frames:
+            for name, part in frame.groupby(group, sort=False, dropna=False):
+                x = np.stack(part[vec].to_numpy())
+                if n and name != now:
+                    yield line()
+                    n = 0
+                if n == 0:
+                    now, s, q = name, np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))
+                n, s, q = n + len(x), s + x.sum(axis=0), q + x.T @ x
+        if n:
+            yield line()
+
+    return run
+
+
+def pca_basis(
+    rows: DataFrame, vec: str = "vec", variance: float | None = 0.90, k: int | None = None, group: str = "Stock"
+) -> DataFrame:
+    """(group, ratios, components, basis) of every group in one plan.
+
+    Tasks add up moments, so a group travels as one dim x dim matrix per task that holds rows of it,
+    and one call decomposes each group's sum. The largest entry of a basis vector is positive.
+    Keeps the fewest components whose variance adds up to more than ``variance``, or ``k``; all, if nothing varies.
+    """
+    schema = f"`{group}` string, n long, s array<double>, q array<double>"
+    ordered = rows.filter(F.col(group).isNotNull()).select(group, vec).sortWithinPartitions(group)
+    parts = ordered.mapInPandas(_moments(group, vec), schema)
+
+    def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, s = pdf["n"].sum(), np.sum(np.stack(pdf["s"].to_numpy()), axis=0)
+        dim = len(s)
+        q = np.sum(np.stack(pdf["q"].to_numpy()), axis=0).reshape(dim, dim)
+        values, vectors = np.linalg.eigh((q - np.outer(s, s) / n) / max(n - 1, 1))
+        values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1].T
+        total = values.sum()
+        ratios = values / total if total > 0 else np.zeros(dim)
+        reached = np.flatnonzero(np.cumsum(ratios) > variance) if k is None else np.array([min(k, dim) - 1])
+        keep = int(reached[0]) + 1 if len(reached) else dim
+        signs = np.sign(vectors[np.arange(dim), np.abs(vectors).argmax(axis=1)])
+        basis = [list(v) for v in (vectors * signs[:, None])[:keep]]
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "ratios": [ratios], "components": [keep], "basis": [basis]})
+
+    return parts.groupBy(group).applyInPandas(
+        decompose, f"`{group}` string, ratios array<double>, components int, basis array<array<double>>"
+    )
 
 
 def pca_reduce(
-    rows: DataFrame, symbols: Sequence[str], vec: str = "vec", variance: float | None = 0.90, k: int | None = None,
-    train: Column | None = None, group: str = "Stock",
+    rows: DataFrame, vec: str = "vec", variance: float | None = 0.90, k: int | None = None, train: Column | None = None, group: str = "Stock"
 ) -> Reduced:
-    """Turn ``vec`` per symbol into its components on the train rows; symbols without train rows are left out.
+    """Turn ``vec`` per group into its components on the train rows; groups without train rows are left out.
 
-    Keeps the fewest components whose variance adds up to more than ``variance``, or ``k``.
-    Rows must be centred on the train part (see scaling). The covariance is summed by Spark;
-    the driver decomposes one dim x dim matrix per symbol, one at a time, because the JVM's
-    LAPACK does not stand concurrent calls.
+    Rows must be centred on the train part (see scaling). The number of jobs does not depend on
+    the number of groups, and a group may hold any share of the rows.
     """
-
-    def one(symbol: str) -> tuple[str, DataFrame, list[float], int] | None:
-        part = rows.filter(F.col(group) == symbol).withColumn("_v", array_to_vector(vec))
-        fit_on = part if train is None else part.filter(train)
-        first = fit_on.select(vec).first()
-        if first is None:
-            return None
-        dim = len(first[0])
-        model = PCA(k=dim, inputCol="_v", outputCol="_p").fit(fit_on)
-        explained = [float(x) for x in model.explainedVariance]
-        keep, total = dim, 0.0
-        if k is not None:
-            keep = min(k, dim)
-        else:
-            for i, x in enumerate(explained):
-                total += x
-                if total > variance:
-                    keep = i + 1
-                    break
-        out = model.transform(part).withColumn(vec, F.slice(vector_to_array("_p"), 1, keep)).drop("_v", "_p")
-        return symbol, out, explained, keep
-
-    done = [d for d in map(one, symbols) if d is not None]
-    spark = rows.sparkSession
-    flat = [(s, i, x) for s, _, ex, _ in done for i, x in enumerate(ex)]
-    curve = spark.createDataFrame(flat, f"`{group}` string, component int, ratio double")
-    return Reduced(stack([d for _, d, _, _ in done], rows), curve, {s: n for s, _, _, n in done})
+    basis = written(pca_basis(rows if train is None else rows.filter(train), vec, variance, k, group), "basis")
+    joined = P.join_hot_keys(rows, basis.select(group, "basis"), group, F.hash(vec))
+    projected = F.transform("basis", lambda b: V.dot(F.col(vec), b))
+    out = joined.withColumn(vec, projected).select(*rows.columns)
+    curve = basis.select(group, F.posexplode("ratios").alias("component", "ratio"))
+    return Reduced(out, curve, basis.select(group, "components"))
 
 
 def variance_curve(variance: DataFrame, group: str = "Stock") -> DataFrame:
@@ -167,20 +195,20 @@ def _ready(rows: DataFrame, features: Column) -> DataFrame:
 def forest_features(panel: DataFrame, symbols: Sequence[str], variance: float = 0.90) -> tuple[DataFrame, Reduced]:
     """Scaled vector reduced by PCA, then the scaled prices."""
     rows = written(scaled_parts(panel).filter(F.col("Stock").isin(list(symbols))))
-    reduced = pca_reduce(rows, symbols, variance=variance, train=F.expr(IN_TRAIN))
+    reduced = pca_reduce(rows, variance=variance, train=F.expr(IN_TRAIN))
     return _ready(reduced.rows, F.concat("vec", "price")), reduced
 
 
 def margin_features(panel: DataFrame, symbols: Sequence[str], variance: float = 0.95) -> tuple[DataFrame, Reduced]:
     """Vector and prices scaled together, then reduced by PCA."""
     rows = scaled_parts(panel).filter(F.col("Stock").isin(list(symbols))).withColumn("vec", F.concat("vec", "price"))
-    reduced = pca_reduce(written(rows), symbols, variance=variance, train=F.expr(IN_TRAIN))
+    reduced = pca_reduce(written(rows), variance=variance, train=F.expr(IN_TRAIN))
     return _ready(reduced.rows, F.col("vec")), reduced
 
 
-def boosting_features(panel: DataFrame, symbols: Sequence[str]) -> DataFrame:
+def boosting_features(panel: DataFrame) -> DataFrame:
     """The scaled vector alone."""
-    return _ready(scaled_parts(panel).filter(F.col("Stock").isin(list(symbols))), F.col("vec"))
+    return _ready(scaled_parts(panel), F.col("vec"))
 
 
 # ---- estimators ---------------------------------------------------------------------
@@ -314,6 +342,49 @@ def fit_margins(rows: DataFrame, grid: Sequence[float] = GRID) -> DataFrame:
     return given.groupBy("Stock", "fold").applyInPandas(fit, "Stock string, fold int, C double, weights array<double>")
 
 
+def _logistic_weights(x: np.ndarray, y: np.ndarray, w: np.ndarray, reg: float, steps: int) -> np.ndarray:
+    """Weighted logistic regression with a ridge, by Newton steps that are halved until the loss falls."""
+    w = w / w.sum()
+    ridge = np.full(x.shape[1], reg)
+    ridge[-1] = 0.0  # the last column is the intercept
+    loss = lambda b: w @ np.logaddexp(0.0, -(2 * y - 1) * (x @ b)) + ridge @ (b * b) / 2
+    b = np.zeros(x.shape[1])
+    now = loss(b)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -500, 500)))
+        slope = x.T @ (w * (p - y)) + ridge * b
+        curve = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        step, size = np.linalg.solve(curve, slope), 1.0
+        while size > 1e-6 and loss(b - size * step) > now:
+            size /= 2
+        b, before = b - size * step, now
+        now = loss(b)
+        if before - now < 1e-12:
+            break
+    return b
+
+
+def fit_logistics(rows: DataFrame, reg: float = 0.01, steps: int = 100) -> DataFrame:
+    """(Stock, weights) of every symbol in one job, a group per task; ``rows`` as of :func:`boosting_features`.
+
+    A group holds one symbol's train rows, one per trading day.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.column_stack([np.stack(pdf["x"].to_numpy()), np.ones(len(pdf))])
+        weights = _logistic_weights(x, pdf["label"].to_numpy(), pdf["weight"].to_numpy(), reg, steps)
+        return pd.DataFrame({"Stock": [pdf["Stock"].iloc[0]], "weights": [weights]})
+
+    given = rows.filter(IN_TRAIN).select("Stock", "label", "weight", vector_to_array("features").alias("x"))
+    return given.groupBy("Stock").applyInPandas(fit, "Stock string, weights array<double>")
+
+
+def score_weights(rows: DataFrame, fits: DataFrame, model: str, keep: Sequence[str] = ("Target_Date", "split", LABEL)) -> DataFrame:
+    """(Stock, keep..., model, y_prob) of every symbol that has weights, by one join."""
+    x = vector_to_array("features")
+    return rows.join(fits, "Stock").select("Stock", *keep, F.lit(model).alias("model"), margin_probability(F.col("weights"), x).alias("y_prob"))
+
+
 def margin_probability(weights: Column, x: Column) -> Column:
     """Decision value put through the logistic curve; ``weights`` end with the intercept."""
     return F.lit(1.0) / (F.exp(-V.dot(weights, F.concat(x, F.array(F.lit(1.0))))) + 1.0)
@@ -365,7 +436,7 @@ def linear_probe(rows: DataFrame, groups: Sequence[str], order: Column, k: int =
     ``rows``: Stock (a group name), Target_Label, vec.
     """
     scaled = written(S.standard_scale(rows, "vec"))
-    reduced = pca_reduce(scaled, groups, k=k)
+    reduced = pca_reduce(scaled, k=k)
     folded = M.stratified_folds(weighted(reduced.rows), order, folds, first="key", ranges=hash_ranges)
     ready = written(folded.withColumn("label", F.col(LABEL).cast("double")).withColumn("features", array_to_vector("vec")))
     cv = cross_validate(ready, groups, logistic, folds, "probe", parallelism)

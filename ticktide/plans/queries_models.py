@@ -24,17 +24,29 @@ def gated(t: Tables, minimum: int = 60) -> tuple[DataFrame, list[str]]:
     return rows, L.symbols_of(rows, minimum)
 
 
+def gated_panel(t: Tables, minimum: int = 60) -> DataFrame:
+    return P.enough_rows(written(panel(t)), minimum)
+
+
+def gated_parts(t: Tables) -> DataFrame:
+    """Scaled rows of the symbols with enough of them; the fit and the projection both read them."""
+    return written(L.scaled_parts(gated_panel(t)))
+
+
+def sizes(reduced: L.Reduced) -> dict[str, int]:
+    """Components per symbol, for fits that go symbol by symbol."""
+    return {x.Stock: x.components for x in reduced.components.collect()}
+
+
 @query("m2_pca_reduce")
 def pca_reduce(t: Tables) -> DataFrame:
-    rows, symbols = gated(t)
-    reduced = L.pca_reduce(L.scaled_parts(rows), symbols, variance=0.90, train=F.expr(L.IN_TRAIN))
+    reduced = L.pca_reduce(gated_parts(t), variance=0.90, train=F.expr(L.IN_TRAIN))
     return reduced.rows.select("Stock", "Target_Date", "split", F.size("vec").alias("components"), pack(F.transform("vec", F.abs)).alias("vec"))
 
 
 @query("m3_pca_variance_curve")
 def pca_variance_curve(t: Tables) -> DataFrame:
-    rows, symbols = gated(t)
-    reduced = L.pca_reduce(L.scaled_parts(rows), symbols, variance=0.95, train=F.expr(L.IN_TRAIN))
+    reduced = L.pca_reduce(gated_parts(t), variance=0.95, train=F.expr(L.IN_TRAIN))
     return L.variance_curve(reduced.variance).select("Stock", "component", r("ratio"), r("cumulative"))
 
 
@@ -51,7 +63,8 @@ def top_k_features(t: Tables) -> DataFrame:
     rows, symbols = gated(t)
     ready, reduced = L.forest_features(rows, symbols)
     models = L.fit_each(ready, symbols, L.fit_with(L.random_forest()))
-    names = {s: L.feature_names(reduced.components[s]) for s in models}
+    components = sizes(reduced)
+    names = {s: L.feature_names(components[s]) for s in models}
     return L.top_k_features(L.importances(models, names, t.spark)).select("Stock", "place", "feature", r("importance"), "is_price")
 
 
@@ -75,7 +88,7 @@ def cross_validate(t: Tables) -> DataFrame:
 @query("m9_gradient_boosting")
 def gradient_boosting(t: Tables) -> DataFrame:
     rows, symbols = gated(t, 80)
-    ready = L.boosting_features(rows, symbols)
+    ready = L.boosting_features(rows.filter(F.col("Stock").isin(symbols)))
 
     def fit(symbol: str, part: DataFrame):
         return L.gradient_boosting().fit(part.filter("split <> 'test'").withColumn("is_val", F.col("split") == "val"))
@@ -98,8 +111,10 @@ def neural_classifier(t: Tables) -> DataFrame:
         L.array_to_vector(F.flatten("sequence")).alias("features"),
     ))
 
+    components = sizes(reduced)
+
     def fit(symbol: str, part: DataFrame):
-        inputs = reduced.components[symbol] + len(P.PRICE_COLUMNS)
+        inputs = components[symbol] + len(P.PRICE_COLUMNS)
         return L.neural_classifier(inputs).fit(L.oversampled(part.filter(L.IN_TRAIN)))
 
     kept = sorted({x.Stock for x in seq.select("Stock").distinct().collect()})
@@ -107,16 +122,15 @@ def neural_classifier(t: Tables) -> DataFrame:
     return L.evaluate(L.score_batch(models, seq, "lstm")).select(*REPORT)
 
 
-def logistic_models(rows: DataFrame, symbols: list[str]):
-    ready = L.boosting_features(rows, symbols)
-    return ready, L.fit_each(ready, symbols, L.fit_with(L.logistic(100)))
+def logistic_models(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ready = L.boosting_features(rows)
+    return ready, written(L.fit_logistics(ready), "logistics")
 
 
 @query("m11_score_batch")
 def score_batch(t: Tables) -> DataFrame:
-    rows, symbols = gated(t)
-    ready, models = logistic_models(rows, symbols)
-    return L.score_batch(models, ready, "logreg").select("Stock", "Target_Date", "split", "model", r("y_prob"))
+    ready, fits = logistic_models(gated_panel(t))
+    return L.score_weights(ready, fits, "logreg").select("Stock", "Target_Date", "split", "model", r("y_prob"))
 
 
 @query("e7_linear_probe")
@@ -128,15 +142,15 @@ def linear_probe(t: Tables) -> DataFrame:
 
 @query("x5_daily_scoring_job")
 def daily_scoring(t: Tables) -> DataFrame:
-    rows, symbols = gated(t)
-    ready, models = logistic_models(rows, symbols)
-    report = L.evaluate(L.score_batch(models, ready, "logreg")).withColumn("model_rank", F.lit(0))
+    rows = gated_panel(t)
+    ready, fits = logistic_models(rows)
+    report = L.evaluate(L.score_weights(ready, fits, "logreg")).withColumn("model_rank", F.lit(0))
     sound = lambda df: df.withColumn("vec", L.V.nan_to_num(F.col("vec")))  # noqa: E731  as in training
     fitted = L.S.vector_stats(P.chrono_split(sound(rows)).filter(L.IN_TRAIN), ["Stock"], "vec")
 
     def score(pooled: DataFrame) -> DataFrame:
         scaled = sound(pooled).join(fitted, "Stock").withColumn("features", L.array_to_vector(L.S.apply_scale(F.col("vec"), F.col("mean"), F.col("std"))))
-        return L.score_batch(models, scaled, "logreg", keep=()) if models else scaled.select("Stock", F.lit("none").alias("model"), F.lit(0.5).alias("y_prob"))
+        return L.score_weights(scaled, fits, "logreg", keep=())
 
     feed = t.news().select(
         "Stock", "news_id", "Date", F.col("Title").alias("headline"), F.col("Source").alias("source"),
