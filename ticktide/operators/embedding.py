@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ticktide.functions.text import BLANK_HEADLINE
 from ticktide.operators import panel as P
+from ticktide.session import written
 
 Embed = Callable[[list[str]], np.ndarray]
 
@@ -47,13 +48,13 @@ def embed_texts(
 def embedding_cache(
     rows: DataFrame, cache: DataFrame, load: Callable[[], Embed], text: str = "Processed_Title", spread: str = "news_id", batch: int = 32
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``vec``, texts to add to the cache).
+    """(rows with ``vec``, texts to add to the cache); what is embedded is written once, so the model runs once a text.
 
     ``cache``: key, text, vec. Only distinct texts the cache lacks are embedded; frequent texts
     are joined back spread over several tasks.
     """
     keyed = rows.withColumn("key", text_key(F.coalesce(text, F.lit(""))))
     distinct = keyed.groupBy("key").agg(F.first(F.coalesce(text, F.lit(""))).alias("text"))  # equal keys, equal texts
-    new = embed_texts(distinct.join(cache.select("key"), "key", "left_anti"), load, "text", batch)
+    new = written(embed_texts(distinct.join(cache.select("key"), "key", "left_anti"), load, "text", batch), "embedded")
     known = cache.select("key", "vec").unionByName(new.select("key", "vec"))
     return P.join_hot_keys(keyed, known, "key", F.col(spread)).drop("key"), new

@@ -2,7 +2,7 @@
 
 Terms are split at white space. Counting happens inside the row (sorted grams, run
 lengths), so the grams of an article never travel; what is shuffled are term totals,
-summed per task first, and weights of the at most ``max_terms`` vocabulary terms.
+summed per task first. Weights and their length are worked out inside the row too.
 """
 
 from __future__ import annotations
@@ -75,14 +75,27 @@ def tfidf_fit(
 
 
 def tfidf_transform(articles: DataFrame, vocabulary: DataFrame, text: str = "Processed", key: str = "news_id", *keep: str) -> DataFrame:
-    """(key, ``keep``..., term, weight): sublinear tf times idf, unit length per article.
+    """(key, ``keep``..., term, weight): sublinear tf times idf, unit length per article; nothing is shuffled.
 
-    The vocabulary is bounded by ``max_terms``, so it is broadcast.
+    The vocabulary is bounded by ``max_terms``, so its rows become part of the plan. Other grams
+    drop out inside the row before they are sorted.
     """
-    found = ngram_counts(articles, text, key, *keep).join(F.broadcast(vocabulary.select("term", "idf")), "term")
-    raw = found.withColumn("_w", (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return raw.select(key, *keep, "term", (F.col("_w") / length).alias("weight"))
+    known = [(x.term, x.idf) for x in vocabulary.select("term", "idf").collect()]
+    if not known:
+        none = articles.filter(F.lit(False))
+        return none.select(key, *keep, F.lit("").alias("term"), F.lit(0.0).alias("weight"))
+    terms = [t for t, _ in known]
+    idf = F.map_from_arrays(F.lit(terms), F.lit([i for _, i in known]))
+    entries = run_lengths(F.filter(grams(word_tokens(F.col(text))), lambda g: g.isin(terms)))
+    raw = F.transform(
+        entries, lambda e: F.struct(e["term"].alias("term"), ((F.log(e["tf"].cast("double")) + 1.0) * idf[e["term"]]).alias("w"))
+    )
+
+    def of_unit_length(found: Column) -> Column:
+        size = F.sqrt(F.aggregate(found, F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
+        return let(size, lambda s: F.transform(found, lambda e: F.struct(e["term"].alias("term"), (e["w"] / s).alias("weight"))))
+
+    return articles.select(key, *keep, F.inline(let(raw, of_unit_length)))
 
 
 def top_idf_terms(vocabulary: DataFrame, n: int = 20) -> DataFrame:

@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from ticktide.functions.text import LEGACY_TAG, LEGACY_URL, NOT_WORD, SPACE, TAG, URL
+from ticktide.functions.text import KEEP_TFIDF, LEGACY_TAG, LEGACY_URL, NOT_WORD, SPACE, TAG, URL, stop_list
+
+# A small stop-word list for the test languages; the last two are kept finance words.
+STOPWORDS = ("the", "and", "of", "is", "le", "la", "der", "und", "el", "de", "Buy", "ลง")
+STOPPED = stop_list(STOPWORDS)
+STOPPED_TFIDF = stop_list(STOPWORDS, KEEP_TFIDF)
+
+
+def tokens_sql(stopped: list[str], text: str = "clean") -> str:
+    """``text`` without stop-words and tokens of one character."""
+    words = ", ".join(f"'{w}'" for w in stopped)
+    return f"array_to_string(list_filter(string_split({text}, ' '), lambda x: length(x) > 1 AND x NOT IN ({words})), ' ')"
 
 
 def pack(value: str, pos: str = "pos") -> str:
@@ -81,9 +92,10 @@ CTE: dict[str, str] = {
     "clean_legacy": f"""SELECT id, trim(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(lower(t),
         '{LEGACY_TAG}', '', 'g'), '{LEGACY_URL}', '', 'g'), '{NOT_WORD}', '', 'g'), chr(10) || chr(13), ' '),
         '[{SPACE}]+', ' ', 'g')) AS clean FROM untagged""",
-    "articles": f"""SELECT news_id, Stock, Target_Date, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(
+    "cleaned": f"""SELECT news_id, Stock, Target_Date, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(
         CASE WHEN contains(Title, ' | ') THEN regexp_extract(Title, '(?s)^(.*) \\| ', 1) ELSE Title END), '{TAG}', '', 'g'),
-        '{URL}', '', 'g'), '{NOT_WORD}', '', 'g'), '[{SPACE}]+', ' ', 'g')) AS Processed FROM kept""",
+        '{URL}', '', 'g'), '{NOT_WORD}', '', 'g'), '[{SPACE}]+', ' ', 'g')) AS clean FROM kept""",
+    "articles": f"SELECT news_id, Stock, Target_Date, {tokens_sql(STOPPED_TFIDF)} AS Processed FROM cleaned",
     "words": """SELECT news_id, pos, w FROM (SELECT news_id, unnest(l) AS w, generate_subscripts(l, 1) AS pos
         FROM (SELECT news_id, list_filter(string_split(Processed, ' '), lambda x: length(x) >= 2) AS l FROM articles))""",
     "gram_counts": """SELECT news_id, term, CAST(count(*) AS INTEGER) AS tf FROM (SELECT news_id, w AS term FROM words
@@ -100,8 +112,6 @@ CTE: dict[str, str] = {
     "weights": """SELECT news_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY news_id)) AS weight FROM (
         SELECT news_id, term, (1 + ln(CAST(tf AS DOUBLE))) * idf AS w FROM gram_counts JOIN vocabulary USING (term))""",
     "last_bars": """SELECT *, CAST(row_number() OVER (PARTITION BY Stock ORDER BY Date DESC) AS INTEGER) AS back FROM prices""",
-    "unit_cells": """SELECT Stock, Target_Date, Target_Label, pos, CASE WHEN n = 0 THEN 0 ELSE m / n END AS u FROM (
-        SELECT *, sqrt(sum(m * m) OVER (PARTITION BY Stock, Target_Date)) AS n FROM cells)""",
     "both_groups": """SELECT Stock AS grp, *, concat_ws('|', Stock, CAST(Target_Date AS VARCHAR)) AS key FROM panel
         UNION ALL SELECT 'ALL', *, concat_ws('|', Stock, CAST(Target_Date AS VARCHAR)) FROM panel""",
     "latest_signal": """SELECT Stock, model, probability_up, confidence, signal, label, Target_Date FROM (
@@ -129,9 +139,9 @@ NEEDS: dict[str, tuple[str, ...]] = {
     "labelled": ("prices",), "cells": ("pooled", "labelled"), "panel": ("cells",), "split": ("panel",), "scored": ("panel",),
     "confusion": ("scored",), "ranked": ("scored",), "auc": ("ranked",), "rates": ("confusion",), "report": ("rates", "auc"),
     "feed": ("symbols",), "untagged": ("titles",), "clean": ("untagged",), "clean_serving": ("untagged",),
-    "clean_legacy": ("untagged",), "articles": ("kept",), "words": ("articles",), "gram_counts": ("words",),
+    "clean_legacy": ("untagged",), "cleaned": ("kept",), "articles": ("cleaned",), "words": ("articles",), "gram_counts": ("words",),
     "cutoff": ("kept",), "vocabulary": ("gram_counts", "cutoff", "articles"), "weights": ("gram_counts", "vocabulary"),
-    "last_bars": ("prices",), "unit_cells": ("cells",), "both_groups": ("panel",), "latest_signal": ("scored",),
+    "last_bars": ("prices",), "both_groups": ("panel",), "latest_signal": ("scored",),
     "feed_items": ("feed",), "stored_items": ("feed_items",), "quotes": ("symbols", "last_bars"),
 }
 

@@ -14,16 +14,12 @@ from ticktide.operators import scaling as S
 from ticktide.operators import serving as G
 from ticktide.plans.dataset import modelling_panel
 from ticktide.plans.oracle import pack as sql_pack
-from ticktide.plans.oracle import with_views
+from ticktide.plans.oracle import STOPPED, tokens_sql, with_views
 from ticktide.plans.registry import pack, query, r
 from ticktide.session import scratch
 from ticktide.sources import files as IO
 from ticktide.sources.tables import Tables
 
-# A small stop-word list for the test languages; the last two are kept finance words.
-STOPWORDS = ("the", "and", "of", "is", "le", "la", "der", "und", "el", "de", "Buy", "ลง")
-STOPPED = X.stop_list(STOPWORDS)
-STOPPED_SQL = ", ".join(f"'{w}'" for w in STOPPED)
 MODELS = {"lstm": 1, "rf": 2, "svm": 3}
 
 
@@ -144,7 +140,7 @@ def clean_title_legacy(t: Tables) -> DataFrame:
     return t.titles().select("id", X.clean_title_legacy(F.col("Title")).alias("clean"))
 
 
-TOKENS_SQL = f"array_to_string(list_filter(string_split(clean, ' '), lambda x: length(x) > 1 AND x NOT IN ({STOPPED_SQL})), ' ')"
+TOKENS_SQL = tokens_sql(STOPPED)
 
 
 @query("p5_filter_tokens", with_views("clean", f"SELECT id, {TOKENS_SQL} AS kept FROM clean"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,15 +13,16 @@ from ticktide.operators import embedding as B
 from ticktide.operators import panel as P
 from ticktide.operators import tfidf as T
 from ticktide.plans.oracle import pack as sql_pack
-from ticktide.plans.oracle import with_views
+from ticktide.plans.oracle import STOPPED, STOPPED_TFIDF, tokens_sql, with_views
 from ticktide.plans.queries_panel import kept_news
 from ticktide.plans.registry import pack, query, r
 from ticktide.session import written
 from ticktide.sources.tables import Tables
 
 
-def articles(t: Tables) -> DataFrame:
-    return kept_news(t).select("news_id", "Stock", "Target_Date", X.clean_title(F.col("Title")).alias("Processed"))
+def articles(t: Tables, stopped: Sequence[str] = STOPPED_TFIDF) -> DataFrame:
+    words = X.filter_tokens(X.clean_title(F.col("Title")), stopped)
+    return kept_news(t).select("news_id", "Stock", "Target_Date", words.alias("Processed"))
 
 
 def articles_once(t: Tables) -> DataFrame:
@@ -95,16 +98,16 @@ LETTER_MIX_SQL = """SELECT id, pos, count(c) / any_value(n) AS x FROM (SELECT id
   CROSS JOIN generate_series(0, 7) AS g(pos) LEFT JOIN (SELECT 1 AS c) o ON unicode(ch) % 8 = pos) GROUP BY id, pos"""
 
 
-@query("f1_embed_texts", with_views("clean", f"SELECT id, {sql_pack('x')} AS vec FROM mix GROUP BY id", texts="SELECT id, clean AS s FROM clean", mix=LETTER_MIX_SQL))
+@query("f1_embed_texts", with_views("clean", f"SELECT id, {sql_pack('x')} AS vec FROM mix GROUP BY id", texts=f"SELECT id, {tokens_sql(STOPPED)} AS s FROM clean", mix=LETTER_MIX_SQL))
 def embed_texts(t: Tables) -> DataFrame:
-    clean = t.titles().select("id", X.clean_title(F.col("Title")).alias("text"))
+    clean = t.titles().select("id", X.filter_tokens(X.clean_title(F.col("Title")), STOPPED).alias("text"))
     return B.embed_texts(clean, letter_mix).select("id", pack("vec").alias("vec"))
 
 
-@query("j3_embedding_cache", with_views("articles", f"SELECT news_id, Stock, {sql_pack('x')} AS vec FROM articles a JOIN mix m ON m.id = a.news_id GROUP BY news_id, Stock", texts="SELECT news_id AS id, Processed AS s FROM articles", mix=LETTER_MIX_SQL))
+@query("j3_embedding_cache", with_views("cleaned", f"SELECT news_id, Stock, {sql_pack('x')} AS vec FROM cleaned a JOIN mix m ON m.id = a.news_id GROUP BY news_id, Stock", texts=f"SELECT news_id AS id, {tokens_sql(STOPPED)} AS s FROM cleaned", mix=LETTER_MIX_SQL))
 def embedding_cache(t: Tables) -> DataFrame:
-    rows = articles(t).withColumnRenamed("Processed", "Processed_Title")
+    rows = written(articles(t, STOPPED).withColumnRenamed("Processed", "Processed_Title"), "articles")
     known = rows.filter(F.col("Stock") < "ASIA").select(F.col("Processed_Title").alias("text")).distinct()
-    cache = B.embed_texts(known, letter_mix).withColumn("key", B.text_key(F.col("text")))
+    cache = written(B.embed_texts(known, letter_mix).withColumn("key", B.text_key(F.col("text"))), "cache")
     with_vec, _ = B.embedding_cache(rows, cache, letter_mix)
     return with_vec.select("news_id", "Stock", pack("vec").alias("vec"))
