@@ -151,3 +151,41 @@ def test_margin_classifier_separates(spark):
 def test_top_features_break_ties_by_name(spark):
     df = spark.createDataFrame([("A", "pca_1", .2), ("A", "pca_0", .2), ("A", "Open", .5)], "Stock string, feature string, importance double")
     assert [(r.feature, r.is_price) for r in L.top_k_features(df, 2).orderBy("place").collect()] == [("Open", True), ("pca_0", False)]
+
+
+def test_separability_by_group(spark, frame, rows):
+    """Groups are scaled and reduced by themselves; short ones and those of one class give NULLs."""
+    x, y = rows
+    short = frame.filter("key < '003'").withColumn("Stock", F.lit("short"))
+    one = frame.filter("Target_Label = 1").unionByName(frame.filter("Target_Label = 0").withColumn("Target_Label", F.lit(1))).withColumn("Stock", F.lit("one"))
+    every = E.with_all(frame).filter("Stock <> 'B'").unionByName(short).unionByName(one)
+    order = E.shuffled(F.col("key"), 42)
+    got = {r.Stock: r for r in L.separability(every, order).collect()}
+    assert set(got) == {"A", "ALL", "short", "one"}
+    for empty in ("short", "one"):
+        assert set(got[empty].asDict().values()) == {empty, None}
+    for group, n in (("A", 30), ("ALL", 50)):
+        z = (x[:n] - x[:n].mean(axis=0)) / x[:n].std(axis=0)
+        own = y[:n]
+        folded, _ = L.probe_folds(every.filter(F.col("Stock") == group), order)
+        fold = np.array([r.fold for r in folded.orderBy("key").collect()])
+        near = np.round(1 - unit(z) @ unit(z).T, 9)  # all components are kept, so angles stay
+        hits = []
+        for f in range(5):
+            votes = [np.mean([own[j] for j in sorted(np.flatnonzero(fold != f), key=lambda j: (near[i, j], j))[:5]]) > 0.5 for i in np.flatnonzero(fold == f)]
+            hits.append(np.mean(np.array(votes) == own[fold == f]))
+        assert got[group].knn_acc == pytest.approx(np.mean(hits), abs=1e-4)
+        d = ((z[:, None] - z[None]) ** 2).sum(axis=2)
+        s = []
+        for i in range(n):
+            a, b = d[i, own == own[i]].sum() / ((own == own[i]).sum() - 1), d[i, own != own[i]].mean()
+            s.append((b - a) / max(a, b))
+        assert got[group].silhouette == pytest.approx(np.mean(s), abs=1e-4)
+        assert 0 <= got[group].logreg_auc <= 1
+
+
+def test_up_rows_weigh_as_scale_pos_weight(spark):
+    rows = [("A", "train", int(i % 4 == 0)) for i in range(8)] + [("A", "test", 1), ("one", "train", 1)]
+    df = spark.createDataFrame(rows, "Stock string, split string, Target_Label int")
+    got = {(r.Stock, r.Target_Label): r.weight for r in L.up_weighted(df, F.expr(L.IN_TRAIN)).collect()}
+    assert got == {("A", 0): 1.0, ("A", 1): 3.0}

@@ -12,7 +12,7 @@ NAMES = (
     "s1_read_news", "s9_fetch_plan", "p1_prices_wide_to_long", "p2_clean_title", "p4_clean_title_legacy", "p8_parse_published",
     "d1_dedup_news", "d4_latest_n_per_symbol", "j1_join_news_prices", "j2_join_articles_labels", "j4_dashboard", "a7_confusion_matrix",
     "a9_roc_auc", "a10_roc_curve", "w1_label_open_direction", "w3_sliding_sequences", "t6_tfidf_daily_dataset", "e1_cosine_intra_inter",
-    "e3_l2_intra_inter", "e6_silhouette", "e8_knn_probe", "p12_vector_columns", "s3_read_dataset", "x1_news_stream",
+    "e3_l2_intra_inter", "e6_silhouette", "e8_knn_scaled", "e9_score_card_unprobed", "p12_vector_columns", "s3_read_dataset", "x1_news_stream",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ticktide.functions import vectors as V
 from ticktide.functions.display import half_even
 from ticktide.operators.ordered import hash_ranges, running_totals
+from ticktide.operators.panel import join_spread
 from ticktide.session import written
 
 ALL = "ALL"
@@ -106,28 +107,31 @@ def centroid_similarity(df: DataFrame, stock: str = "Stock", vec: str = "vec", l
 
 def centroid_columns(df: DataFrame, anchors: Sequence[str], stock: str = "Stock", vec: str = "vec") -> DataFrame:
     """Heat-map rows: the cosine of every symbol's centroid to each of the named anchors."""
-    c = centroids(df, stock, vec)
+    c = written(centroids(df, stock, vec), "centroids")
     size = V.norm(F.col("centroid"))
-    given = {f"_{i}": c.filter(F.col(stock) == a).select("centroid").scalar() for i, a in enumerate(anchors)}
 
-    def to_anchor(name: str) -> Column:
-        return V.dot(F.col("centroid"), F.col(name)) / (size * V.norm(F.col(name)) + F.lit(1e-8))
+    def to_anchor(given: Column) -> Column:
+        return V.dot(F.col("centroid"), given) / (size * V.norm(given) + F.lit(1e-8))
 
-    return c.withColumns(given).select(stock, *[to_anchor(f"_{i}").alias(a) for i, a in enumerate(anchors)])
+    rows = c.withColumn("_a", _of_anchors(c, anchors, stock, F.col("centroid")))
+    return rows.select(stock, *[to_anchor(F.col(f"_a._{i}")).alias(a) for i, a in enumerate(anchors)])
+
+
+def _of_anchors(df: DataFrame, anchors: Sequence[str], stock: str, value: Column) -> Column:
+    """One struct with the ``value`` of every anchor, which has one row; NULL if it has none."""
+    given = [F.max(F.when(F.col(stock) == a, value)).alias(f"_{i}") for i, a in enumerate(anchors)]
+    return df.agg(*given).select(F.struct(*[f"_{i}" for i in range(len(anchors))])).scalar()
 
 
 def cosine_blocks(df: DataFrame, anchors: Sequence[str], stock: str = "Stock", vec: str = "vec") -> DataFrame:
     """Mean of the N x N cosine matrix over the block (symbol, anchor), without forming the matrix."""
-    sums = unit_sums(df, [stock], vec)
-
-    given = {
-        f"_{i}": sums.filter(F.col(stock) == a).select(F.struct("s", "n")).scalar() for i, a in enumerate(anchors)
-    }
+    sums = written(unit_sums(df, [stock], vec), "unit_sums")
 
-    def block(name: str) -> Column:
-        return V.dot(F.col("s"), F.col(f"{name}.s")) / (F.col("n") * F.col(f"{name}.n"))
+    def block(given: Column) -> Column:
+        return V.dot(F.col("s"), given["s"]) / (F.col("n") * given["n"])
 
-    return sums.withColumns(given).select(stock, "n", *[block(f"_{i}").alias(a) for i, a in enumerate(anchors)])
+    rows = sums.withColumn("_a", _of_anchors(sums, anchors, stock, F.struct("s", "n")))
+    return rows.select(stock, "n", *[block(F.col(f"_a._{i}")).alias(a) for i, a in enumerate(anchors)])
 
 
 # ---- distances: sampling operators --------------------------------------------------
@@ -176,11 +180,20 @@ def silhouette(df: DataFrame, label: str = "Target_Label", stock: str = "Stock",
     The mean squared distance to a class follows from its sum of vectors, of squares and its
     number of rows, so no pairs are formed. Rows alone in their class, and groups of one class, count 0.
     """
-    every = with_all(df.select(stock, F.col(label).alias("y"), F.col(vec).alias("v")), stock)
+    return silhouette_by_group(with_all(df, stock), label, stock, vec)
+
+
+def silhouette_by_group(rows: DataFrame, label: str = "Target_Label", stock: str = "Stock", vec: str = "vec") -> DataFrame:
+    """As :func:`silhouette` for rows that already stand under their groups, each on vectors of its own scale."""
+    every = rows.select(stock, F.col(label).alias("y"), F.col(vec).alias("v"))
     sums = every.groupBy(stock, "y").agg(V.sum_vector(F.col("v")).alias("s"), F.count(F.lit(1)).alias("n"), F.sum(V.dot(F.col("v"), F.col("v"))).alias("q"))
     classes = sums.groupBy(stock).agg(F.collect_list(F.struct("y", "s", "n", "q")).alias("classes"))  # a few classes
     classes = written(classes, "classes")
-    rows = every.join(F.broadcast(classes) if classes.count() <= BROADCAST_GROUPS else classes, stock).withColumn("x2", V.dot(F.col("v"), F.col("v")))
+    if classes.count() <= BROADCAST_GROUPS:
+        joined = every.join(F.broadcast(classes), stock)
+    else:
+        joined = join_spread(every, classes, [stock], F.hash("v"))
+    rows = joined.withColumn("x2", V.dot(F.col("v"), F.col("v")))
     away = F.transform("classes", lambda c: F.struct(
         (c["y"] == F.col("y")).alias("own"), c["n"].alias("n"),
         F.greatest(F.col("x2") + (c["q"] - V.dot(F.col("v"), c["s"]) * 2.0) / c["n"], F.lit(0.0)).alias("d"),
@@ -206,18 +219,23 @@ def _best_in_block(k: int):
             return pd.DataFrame(columns=columns).astype(types)
         q, b = (np.stack(part["u"].to_numpy()) for part in (queries, base))
         base_key, base_y, base_fold = (base[c].to_numpy() for c in ("key", "y", "fold"))
+        by_key = np.empty(len(base), dtype=int)
+        by_key[np.argsort(base_key, kind="stable")] = np.arange(len(base))
+        last = min(k, len(base)) - 1
         out = []
         for at in range(0, len(q), 1024):
             rows = slice(at, at + 1024)
             dist = np.round(1.0 - q[rows] @ b.T, 9)
             dist[queries["fold"].to_numpy()[rows][:, None] == base_fold[None, :]] = np.inf
-            for i, d in enumerate(dist, start=at):
-                row = queries.iloc[i]
-                edge = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-                near = np.flatnonzero((d <= edge) & np.isfinite(d))
-                near = near[np.lexsort((base_key[near], d[near]))][:k]
-                out += [(row["grp"], row["key"], row["y"], row["fold"], base_key[j], base_y[j], d[j]) for j in near]
-        return pd.DataFrame(out, columns=columns).astype(types)
+            edge = np.partition(dist, last, axis=1)[:, last]
+            i, j = np.nonzero((dist <= edge[:, None]) & np.isfinite(dist))
+            order = np.lexsort((by_key[j], dist[i, j], i))
+            i, j = i[order], j[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j = i[kept], j[kept]
+            mine = queries.iloc[at + i][["grp", "key", "y", "fold"]].reset_index(drop=True)
+            out.append(mine.assign(cand=base_key[j], cand_y=base_y[j], dist=dist[i, j]))
+        return pd.concat(out)[columns].astype(types)
 
     return run
 

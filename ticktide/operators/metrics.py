@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ticktide.functions.display import half_even
 from ticktide.operators.ordered import COARSE, FINE, running_totals, score_ranges
+from ticktide.operators.panel import join_spread
 
 GROUP = ("model", "Stock")
 
@@ -290,7 +291,7 @@ def stratified_folds(
         ranked = keyed.withColumn("_one_before", F.row_number().over(w) - 1)
     else:
         ranked = running_totals(keyed, [stock, label], "_o", ["_one"], ranges(F.col("_o")))
-    ranked = ranked.join(laid, [stock, label])
+    ranked = ranked.join(laid, [stock, label]) if ranges is None else join_spread(ranked, laid, [stock, label], F.col("_o"))
 
     def places(i: int) -> Column:
         last = F.floor((F.col("_s") + F.col("_size") - 1 - i) / folds)

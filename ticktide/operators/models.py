@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ticktide.functions import vectors as V
 from ticktide.functions.display import half_even
+from ticktide.operators import embedding_quality as E
 from ticktide.operators import metrics as M
 from ticktide.operators import panel as P
 from ticktide.operators import scaling as S
@@ -173,19 +174,27 @@ def variance_curve(variance: DataFrame, group: str = "Stock") -> DataFrame:
     return variance.select(group, "component", "ratio", F.sum("ratio").over(w).alias("cumulative"))
 
 
-def weighted(rows: DataFrame, train: Column | None = None) -> DataFrame:
-    """Balanced class weights of the train part on every row."""
+def weighted(rows: DataFrame, train: Column | None = None, spread: Column | None = None) -> DataFrame:
+    """Balanced class weights of the train part on every row; ``spread`` as in :func:`scaling.standard_scale`."""
     fitted = M.class_weights(rows if train is None else rows.filter(train))
-    both = rows.join(fitted, "Stock")
+    both = rows.join(fitted, "Stock") if spread is None else P.join_spread(rows, fitted, ["Stock"], spread)
     return both.withColumn("weight", F.when(F.col(LABEL) == 1, F.col("weight_1")).otherwise(F.col("weight_0"))).drop("weight_0", "weight_1")
 
 
+def up_weighted(rows: DataFrame, train: Column | None = None) -> DataFrame:
+    """Weight 1 on Down rows, Down to Up of the train part on Up rows; symbols of one class drop out."""
+    fit_on = rows if train is None else rows.filter(train)
+    fitted = M.scale_pos_weight(fit_on).join(M.class_weights(fit_on).select("Stock"), "Stock", "left_semi")
+    both = rows.join(fitted, "Stock")
+    return both.withColumn("weight", F.when(F.col(LABEL) == 1, F.col("scale_pos_weight")).otherwise(1.0)).drop("scale_pos_weight")
+
+
 IN_TRAIN = "split = 'train'"
 
 
-def _ready(rows: DataFrame, features: Column) -> DataFrame:
+def _ready(rows: DataFrame, features: Column, weigh: Callable[[DataFrame, Column], DataFrame] = weighted) -> DataFrame:
     """Feature rows written once to the shared folder: the fits read them many times."""
-    ready = weighted(rows, F.expr(IN_TRAIN)).select(
+    ready = weigh(rows, F.expr(IN_TRAIN)).select(
         "Stock", "Target_Date", "split", LABEL, "weight", F.col(LABEL).cast("double").alias("label"),
         array_to_vector(features).alias("features"),
     )
@@ -206,9 +215,9 @@ def margin_features(panel: DataFrame, symbols: Sequence[str], variance: float =
     return _ready(reduced.rows, F.col("vec")), reduced
 
 
-def boosting_features(panel: DataFrame) -> DataFrame:
+def boosting_features(panel: DataFrame, weigh: Callable[[DataFrame, Column], DataFrame] = weighted) -> DataFrame:
     """The scaled vector alone."""
-    return _ready(scaled_parts(panel), F.col("vec"))
+    return _ready(scaled_parts(panel), F.col("vec"), weigh)
 
 
 # ---- estimators ---------------------------------------------------------------------
@@ -430,14 +439,23 @@ def top_k_features(importance: DataFrame, k: int = 20) -> DataFrame:
     return ranked.withColumn("is_price", F.col("feature").isin(list(P.PRICE_COLUMNS)))
 
 
-def linear_probe(rows: DataFrame, groups: Sequence[str], order: Column, k: int = 50, folds: int = 5, parallelism: int = 8) -> DataFrame:
-    """Balanced logistic regression on scaled, PCA-reduced vectors: five-fold accuracy and AUC per group.
+def probe_folds(rows: DataFrame, order: Column, k: int = 50, folds: int = 5) -> tuple[DataFrame, Reduced]:
+    """Rows scaled and PCA-reduced per group, in shuffled folds, and the reduction; groups of one class drop out.
 
-    ``rows``: Stock (a group name), Target_Label, vec.
+    ``rows``: Stock (a group name, maybe with most rows), Target_Label, key, vec.
     """
-    scaled = written(S.standard_scale(rows, "vec"))
+    scaled = written(S.standard_scale(rows, "vec", spread=F.col("key")))
     reduced = pca_reduce(scaled, k=k)
-    folded = M.stratified_folds(weighted(reduced.rows), order, folds, first="key", ranges=hash_ranges)
+    kept = weighted(reduced.rows, spread=F.col("key"))
+    return written(M.stratified_folds(kept, order, folds, first="key", ranges=hash_ranges), "folds"), reduced
+
+
+def linear_probe(rows: DataFrame, groups: Sequence[str], order: Column, k: int = 50, folds: int = 5, parallelism: int = 8) -> DataFrame:
+    """Balanced logistic regression on the rows of :func:`probe_folds`: five-fold accuracy and AUC per group."""
+    return probe_of_folds(*probe_folds(rows, order, k, folds), groups, k, folds, parallelism)
+
+
+def probe_of_folds(folded: DataFrame, reduced: Reduced, groups: Sequence[str], k: int = 50, folds: int = 5, parallelism: int = 8) -> DataFrame:
     ready = written(folded.withColumn("label", F.col(LABEL).cast("double")).withColumn("features", array_to_vector("vec")))
     cv = cross_validate(ready, groups, logistic, folds, "probe", parallelism)
     kept = reduced.variance.filter(F.col("component") < k).groupBy("Stock").agg(F.sum("ratio").alias("pca_variance_explained"))
@@ -445,3 +463,23 @@ def linear_probe(rows: DataFrame, groups: Sequence[str], order: Column, k: int =
         "Stock", half_even(F.col("cv_acc_mean")).alias("logreg_acc"), half_even(F.col("cv_acc_std")).alias("logreg_acc_std"),
         half_even(F.col("cv_auc_mean")).alias("logreg_auc"), half_even(F.col("pca_variance_explained")).alias("pca_variance_explained"),
     )
+
+
+def separability(rows: DataFrame, order: Column, minimum: int = E.MIN_ROWS) -> DataFrame:
+    """Probe, nearest neighbours and silhouette of every group on its own scaled vectors.
+
+    Groups of one class or with fewer than ``minimum`` rows keep a row of NULLs. ``rows`` as in :func:`probe_folds`.
+    """
+    two = (F.count(F.lit(1)) >= minimum) & (F.min(LABEL) != F.max(LABEL))
+    groups = written(rows.groupBy("Stock").agg(two.alias("fit")), "groups")
+    fit = [x.Stock for x in groups.filter("fit").orderBy("Stock").collect()]
+    rows = written(P.join_spread(rows, groups.filter("fit").select("Stock"), ["Stock"], F.col("key")), "probed")
+    folded, reduced = probe_folds(rows, order)
+    probe = probe_of_folds(folded, reduced, fit)
+    near = E.knn_accuracy(E.knn_vote(folded, label=LABEL, group="Stock"))
+    shape = E.silhouette_by_group(S.standard_scale(rows, "vec", spread=F.col("key")))
+    return (
+        groups.select("Stock").join(probe, "Stock", "left")
+        .join(near.select(F.col("grp").alias("Stock"), half_even(F.col("knn_acc")).alias("knn_acc")), "Stock", "left")
+        .join(shape.select("Stock", half_even(F.col("silhouette")).alias("silhouette")), "Stock", "left")
+    )

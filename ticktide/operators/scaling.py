@@ -9,6 +9,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticktide.operators.panel import join_spread
+
 EPS = 2.220446049250313e-16
 
 
@@ -36,11 +38,19 @@ def apply_scale(vec: Column, mean: Column, std: Column) -> Column:
 
 
 def standard_scale(
-    df: DataFrame, vec: str, group: Sequence[str] = ("Stock",), train: Column | None = None, out: str | None = None
+    df: DataFrame, vec: str, group: Sequence[str] = ("Stock",), train: Column | None = None, out: str | None = None, spread: Column | None = None
 ) -> DataFrame:
-    """Scale ``vec`` per group with the statistics of the group's train rows."""
+    """Scale ``vec`` per group with the statistics of the group's train rows.
+
+    ``spread`` tells rows of a group apart; give it where a group may hold a large share of all rows.
+    """
     fitted = vector_stats(df if train is None else df.filter(train), group, vec).drop("n")
-    joined = df.join(fitted, list(group)) if group else df.withColumns(_single(fitted))
+    if not group:
+        joined = df.withColumns(_single(fitted))
+    elif spread is None:
+        joined = df.join(fitted, list(group))
+    else:
+        joined = join_spread(df, fitted, list(group), spread)
     scaled = joined.withColumn(out or vec, apply_scale(F.col(vec), F.col("mean"), F.col("std")))
     return scaled.drop("mean", "std")
 

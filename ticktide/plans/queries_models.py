@@ -9,8 +9,8 @@ from ticktide.operators import embedding_quality as E
 from ticktide.operators import metrics as M
 from ticktide.operators import models as L
 from ticktide.operators import panel as P
-from ticktide.plans.queries_panel import panel
-from ticktide.plans.queries_quality import row_key
+from ticktide.plans.queries_panel import panel, panel_once
+from ticktide.plans.queries_quality import POINTS, quality, row_key
 from ticktide.plans.registry import pack, query, r
 from ticktide.plans.scoring import daily_scoring_job
 from ticktide.session import written
@@ -88,7 +88,7 @@ def cross_validate(t: Tables) -> DataFrame:
 @query("m9_gradient_boosting")
 def gradient_boosting(t: Tables) -> DataFrame:
     rows, symbols = gated(t, 80)
-    ready = L.boosting_features(rows.filter(F.col("Stock").isin(symbols)))
+    ready = L.boosting_features(rows.filter(F.col("Stock").isin(symbols)), L.up_weighted)
 
     def fit(symbol: str, part: DataFrame):
         return L.gradient_boosting().fit(part.filter("split <> 'test'").withColumn("is_val", F.col("split") == "val"))
@@ -140,6 +140,29 @@ def linear_probe(t: Tables) -> DataFrame:
     return L.linear_probe(rows, groups, E.shuffled(F.col("key"), 42))
 
 
+def probed(t: Tables) -> DataFrame:
+    """Panel rows under their symbol and under ALL, with a unique key."""
+    return written(E.with_all(panel_once(t).select("Stock", "Target_Date", L.LABEL, "vec", row_key().alias("key"))), "groups")
+
+
+@query("e8_knn_probe")
+def knn_probe(t: Tables) -> DataFrame:
+    """On vectors scaled and reduced per group, as the linear probe has them."""
+    folded, _ = L.probe_folds(E.rows_enough(probed(t)), E.shuffled(F.col("key"), 42))
+    return E.knn_accuracy(E.knn_vote(folded, label=L.LABEL, group="Stock")).select(F.col("grp").alias("Stock"), r("knn_acc"))
+
+
+@query("e9_score_card")
+def score_card(t: Tables) -> DataFrame:
+    found = L.separability(probed(t), E.shuffled(F.col("key"), 42)).select("Stock", "logreg_auc", "silhouette")
+    return E.score_card(quality(t).join(found, "Stock", "left")).select("Stock", *POINTS)
+
+
+@query("e10_per_stock_separability")
+def per_stock_separability(t: Tables) -> DataFrame:
+    return L.separability(probed(t), E.shuffled(F.col("key"), 42))
+
+
 @query("x5_daily_scoring_job")
 def daily_scoring(t: Tables) -> DataFrame:
     rows = gated_panel(t)
