@@ -7,13 +7,22 @@ in the order of both text and template, over gaps of at most ``MAX_GAP`` words.
 template is a span. Phrases are found in the same pass: a phrase ends where its state is the current one or one of
 its suffix links, so exact places need no second search.
 
-A NULL or empty text has no words, places or spans. Repeated rows each give their own row. Memory: the automaton
-(twice the words of the templates) and one text at a time.
+Short notices (``TEMPLATES``) and the paragraphs of whole licences and their usual headers (``licence_paragraphs``) have
+an automaton each, as the longest run of a header would hide a notice that the header begins with. Every paragraph is
+a template of its own and judged by its own coverage. Licences share paragraphs: one whose spans all lie within the
+spans of another, which has more, does not count. Where paragraphs of different licences and wordings cover the same
+words and none does so wholly, the words that tell them apart are missing, and none of them counts.
+
+A NULL or empty text has no words, places or spans. Repeated rows each give their own row. Memory: the automata
+(twice the words of the templates; some 40,000 words) and one text at a time.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +51,28 @@ TEMPLATES = (
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 )
 
+# Licences whose whole texts are in the folder ``licences``.
+LICENCES = (
+    "agpl-3", "apache-2", "bsd", "cc-by", "cc-by-nc", "cc-by-sa", "cc0", "gpl-1", "gpl-2", "gpl-3", "lgpl-2", "lgpl-2.1",
+    "lgpl-3", "mit", "mpl-1.1", "mpl-2",
+)
+SHORT = 8  # words; shorter paragraphs, such as headings, go with the next one
+
+# Usual headers that the texts themselves do not hold.
+_OWN = "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+HEADERS = (
+    ("lgpl-3", _OWN + "lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2", _OWN + "general public license version 2 as published by the free software foundation"),
+    ("gpl-2", _OWN + "general public license as published by the free software foundation version 2 of the license"),
+    ("gpl-3", _OWN + "general public license version 3 as published by the free software foundation"),
+    ("gpl-3", _OWN + "general public license as published by the free software foundation version 3 of the license"),
+    ("lgpl-2.1", _OWN + "lesser general public license version 2 1 as published by the free software foundation"),
+    ("lgpl-3", _OWN + "lesser general public license version 3 as published by the free software foundation"),
+    ("agpl-3", _OWN + "affero general public license version 3 as published by the free software foundation"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+)
+
 SCHEMA = (
     "doc_id long, n_words long, places array<struct<label:string,start:long,n_words:int>>, "
     "spans array<struct<label:string,template:int,start:long,end:long,score:double>>"
@@ -57,6 +88,30 @@ def folded_words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+# A line that names the work and its owner, to be filled in.
+_FIELDS = re.compile(r"\s*(<|copyright (\(c\)\s+(19yy\s+)?<|\[yyyy\]))", re.IGNORECASE)
+
+
+def paragraphs(text: str) -> list[str]:
+    """The paragraphs of a licence; those of fewer than ``SHORT`` words stand before the next one, or after the last."""
+    out, held = [], ""
+    for part in re.split(r"\n\s*\n", text):
+        if all(_FIELDS.match(line) for line in part.splitlines()):
+            continue
+        held += part + "\n"
+        if len(folded_words(held.encode())) >= SHORT:
+            out.append(held)
+            held = ""
+    return out[:-1] + [out[-1] + held] if out else [held]
+
+
+@lru_cache(1)
+def licence_paragraphs() -> tuple[tuple[str, str], ...]:
+    """(label, paragraph) of all licences, and their usual headers."""
+    folder = files(__package__) / "licences"
+    return tuple((k, p) for k in LICENCES for p in paragraphs((folder / f"{k}.txt").read_text("utf-8"))) + HEADERS
+
+
 class SuffixAutomaton:
     """All runs of words of several sequences, in states that share their end places."""
 
@@ -166,10 +221,11 @@ class Scanner:
             for k, firsts in at.items():
                 chain = open_.get(k)
                 if chain and start - chain[1] <= self.max_gap:
-                    # where text or template parts of two runs overlap, the later run counts from where the earlier ends
+                    # where text or template parts of two runs overlap, the later run counts from where the earlier ends,
+                    # unless it covers more alone
                     for first in sorted(firsts):
                         skip = max(0, chain[2] - first, chain[1] - start)
-                        if skip < length:
+                        if skip < length and skip <= chain[3]:
                             chain[1], chain[2], chain[3] = start + length, first + length, chain[3] + length - skip
                             break
                     else:
@@ -184,11 +240,52 @@ class Scanner:
         return sorted(spans, key=lambda s: (s[2], s[1]))
 
 
-def license_spans(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, **limits) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): its words, the places of phrases, the spans of templates."""
+class LicenceScanner:
+    """Places of phrases, and spans of short notices and of paragraphs of licences, numbered in this order."""
+
+    def __init__(self, phrases=PHRASES, templates=TEMPLATES, licences=None, **limits):
+        self.notices = Scanner(phrases, templates, **limits)
+        self.licences = Scanner((), licence_paragraphs() if licences is None else licences, **limits)
+        self.n_notices = len(self.notices.templates)
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple], list[tuple]]:
+        places, spans = self.notices.scan(words)
+        found = self._told_apart(self.licences.scan(words)[1])
+        more = [(label, k + self.n_notices, *rest) for label, k, *rest in found]
+        return places, sorted(spans + more, key=lambda s: (s[2], s[1]))
+
+    def _told_apart(self, spans: list[tuple]) -> list[tuple]:
+        """Without licences that other words of the text rule out."""
+        at: dict[tuple[int, int], list[tuple]] = {}
+        for s in spans:
+            at.setdefault(s[2:4], []).append(s)
+        clear = []
+        for same in at.values():
+            wordings = {tuple(self.licences.templates[s[1]]) for s in same}
+            if max(s[4] for s in same) == 1 or len(wordings) == 1 or len({s[0] for s in same}) == 1:
+                clear += same
+        covered: dict[str, set[int]] = {}
+        for label, _, start, end, _ in clear:
+            covered.setdefault(label, set()).update(range(start, end))
+        within = {x for x in covered if any(covered[x] < covered[y] for y in covered)}
+        return [s for s in clear if s[0] not in within]
+
+
+@lru_cache(4)
+def _scanner(phrases: tuple, templates: tuple, licences: tuple | None, limits: tuple) -> LicenceScanner:
+    """Built once by each Python worker, not by each task."""
+    return LicenceScanner(phrases, templates, licences, **dict(limits))
+
+
+def license_spans(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, licences=None, **limits) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): its words, the places of phrases, the spans of templates.
+
+    ``licences`` are (label, paragraph) pairs, those of :func:`licence_paragraphs` if not given.
+    """
+    given = (tuple(phrases), tuple(templates), None if licences is None else tuple(licences), tuple(limits.items()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(phrases, templates, **limits)
+        scanner = _scanner(*given)
         for batch in batches:
             n, places, spans = [], [], []
             for text in batch.column(1).cast(pa.large_binary()):
