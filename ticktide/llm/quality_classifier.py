@@ -8,7 +8,8 @@ sample of at most SAMPLE labelled rows, chosen by hash (labelled rows beyond tha
 a fixed bound, so the model may go to every task. Scores read whole texts.
 
 A NULL text is an empty one, with its own bins; an empty text gets a score. A NULL stated length has a bin. Labelled
-rows with a NULL label or without a document are not learned from. Without labelled rows every score is 0.5. Repeated
+rows with a NULL label or without a document are not learned from. Of documents that share an id, and so its label, one
+is learned from: the first by a hash of its text and stated length. Without labelled rows every score is 0.5. Repeated
 rows score alike. Labels, language, source and id are never features.
 """
 
@@ -191,11 +192,13 @@ def _stated(docs: DataFrame) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE) -> DataFrame:
-    """At most ``most`` of the documents that have a label and may be learned from, the first by a hash of their id."""
+    """At most ``most`` of the documents that have a label and may be learned from, the first by a hash of their id; one row for each id."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.filter(learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most ``most`` narrow rows
-    return docs.select("doc_id", "text", _stated(docs).alias("stated")).join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", "text", _stated(docs).alias("stated")).join(F.broadcast(known), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text", "stated").alias("digest"), "text", "stated")).alias("first")
+    return rows.groupBy("doc_id", "quality").agg(first).select("doc_id", "first.text", "first.stated", "quality")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE) -> Machine:
