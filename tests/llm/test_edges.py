@@ -1,5 +1,6 @@
 """NULLs, empty and long texts, ties, repeated rows, empty tables and extra columns, operator by operator."""
 
+import hashlib
 import io
 import random
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import plain
-from ticktide.llm import jaccard, license_scan, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, topk, warc
+from ticktide.llm import jaccard, license_scan, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, tokens, topk, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, n long, prefix long, size long"
@@ -211,7 +212,7 @@ def test_packing(docs):
 def test_tokens_are_those_of_the_whole_text():
     from tokenizers import Tokenizer
 
-    tokenizer, own = Tokenizer.from_file(VOCABULARY), packing.Tokens(VOCABULARY)
+    tokenizer, own = Tokenizer.from_file(VOCABULARY), tokens.Tokens(VOCABULARY)
     rng = random.Random(1)
     texts = ["".join(rng.choices(list("ab 1.,'é\n\t  　  sS漢🙂") + ["'s", " <|endoftext|>", "  "], k=rng.randint(0, 60))) for _ in range(800)]
     data = [t.encode() for t in texts]
@@ -283,3 +284,45 @@ def test_left_texts_are_whole_characters(spark):
     df = spark.createDataFrame([(1, "aé" + body), (2, body + "z"), (3, None), (4, "k�")], "doc_id long, text string")
     rows = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(df).collect()}
     assert rows == {1: "a", 2: "z", 3: None, 4: "k�"}
+
+
+CLASHING = ("spans", "kept", "k1", "k2", "_bytes", "_text_hash", "text_hash", "_n", "_total", "_rows", "_copies", "_nth", "_copy",
+            "_size", "_id", "_source", "total", "rows", "words", "copies", "id", "_row", "data")
+
+
+def test_extra_columns_of_working_names_come_through(docs):
+    wide = docs.select("doc_id", "text", "source", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+    for f in (jaccard.keep_one, mixing.repeat, suffix_dedup.without_repeats):
+        got = f(wide)
+        assert got.columns == wide.columns
+        for r in got.collect():
+            assert all(r[c] == f"own {c}" for c in CLASHING)
+    got = suffix_dedup.remove_repeats(wide)
+    assert got.columns == [c for c in wide.columns if c not in ("spans", "kept")] + ["spans", "kept"]
+    assert all(r["k1"] == "own k1" and bytes(r["kept"]) is not None for r in got.collect())
+
+
+@pytest.mark.parametrize("texts", [
+    [(1, "a b c", "x"), (2, None, "y"), (3, "", "y"), (4, "d", None)], [(1, None, "x"), (2, "", None)], [(None, None, None)],
+])
+def test_sources_without_words(spark, texts):
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    rows = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    for i, text, source in texts:
+        size = len((text or "").split())
+        own = sum(len((t or "").split()) for _, t, s in texts if s == source)
+        assert (rows[i]["size"], rows[i]["source_size"]) == (size, own)
+        if not own:
+            assert rows[i]["target"] == 0 and rows[i]["size"] * rows[i]["copies"] == 0
+    assert mixing.repeat(df).columns == df.columns
+    assert {r["doc_id"] for r in mixing.repeat(df).collect()} <= {i for i, _, _ in texts}
+
+
+def test_many_spans_in_one_text(spark):
+    rng = random.Random(4)
+    shared = "".join(rng.choices("abcdefgh ", k=420))
+    text = "".join(shared + f"<{rng.random()}>" for _ in range(300))
+    row = suffix_dedup.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    kept = bytes(row["kept"])
+    got = len(text), len(text) - len(kept), len(row["spans"]), hashlib.sha256(kept).hexdigest()
+    assert got == plain.removed({1: text}, 400)[1] and got[2] >= 300

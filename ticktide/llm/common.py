@@ -29,6 +29,14 @@ def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= rows else small
 
 
+ROW = "_row"
+
+
+def boxed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` beside the whole row as one struct, so that no other column of ``docs`` meets a working name."""
+    return docs.select(*columns, F.struct("*").alias(ROW))
+
+
 def words(text: Column) -> Column:
     """The runs of other characters than SPACES, in order; none for NULL."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

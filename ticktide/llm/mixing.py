@@ -13,7 +13,8 @@ within about half of its smallest sizes of the target. Which documents of a clas
 hash of the id, through counts of hash ranges, so a class may be of any size, and reruns agree.
 
 A NULL text has size 0. A NULL source is a source, last in order. Sources without words have target 0; documents of
-size 0 are taken zero words. Repeated rows count each. No rows: no rows.
+size 0 are taken zero words; without any words all targets are 0. Repeated rows count each. No rows: no rows.
+``mix`` returns its own columns, ``repeat`` all columns of its input as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticktide.llm.common import checked, words
+from ticktide.llm.common import ROW, boxed, checked, words
 from ticktide.operators.ordered import hash_ranges, running_totals
 from ticktide.session import written
 
@@ -71,6 +72,7 @@ def targets(per_source: DataFrame, weights: Sequence[int] = WEIGHTS, most: float
 
 def rates(classes: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
     """One dual variable per source: KEY, scale and lam. ``classes`` holds KEY, size, n; ``goals`` KEY, target, source_size."""
+    classes = classes.filter("size > 0")  # a source without words has no rate
     scale = classes.groupBy(*KEY).agg((F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("scale"))
     state = written(
         goals.filter("source_size > 0").join(scale, KEY).select(
@@ -84,7 +86,7 @@ def rates(classes: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame
     inside = F.col("lam") * F.col("size") / F.col("scale") < math.log(most)
     mass = F.col("size") * F.col("n") * tilt
     for _ in range(STEPS):
-        sums = classes.filter("size > 0").join(checked(state), KEY).groupBy(*KEY).agg(
+        sums = classes.join(checked(state), KEY).groupBy(*KEY).agg(
             F.sum(mass).alias("words"),
             F.sum(F.when(inside, mass * F.col("size") / F.col("scale")).otherwise(0.0)).alias("curvature"),
         )
@@ -153,17 +155,18 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: float = MOST) -
 
 def repeat(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: float = MOST) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them."""
-    key = ["_id", "_source", "_size"]
-    taken = mix(docs, weights, most).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-    taken = written(taken.agg(F.sum("copies").alias("_total"), F.count("*").alias("_rows")), "taken")
-    rows = docs.withColumn("_n", F.size(words(F.col("text"))).cast("long"))
-    side = checked(taken)
-    same = rows["doc_id"].eqNullSafe(side["_id"]) & rows["source"].cast("string").eqNullSafe(side["_source"]) & (rows["_n"] == side["_size"])
-    joined = rows.join(side, same)
-    single = joined.filter("_rows = 1").withColumn("_copies", F.col("_total"))
-    if taken.filter("_rows > 1").limit(1).count():  # rows alike share what they are taken together
+    key = ["id", "from_source", "of_size"]
+    taken = mix(docs, weights, most).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("from_source"), F.col("size").alias("of_size"))
+    taken = written(taken.agg(F.sum("copies").alias("total"), F.count("*").alias("rows")), "taken")
+    rows = boxed(docs, "doc_id", "text", "source").withColumn("words", F.size(words(F.col("text"))).cast("long"))
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").cast("string").eqNullSafe(F.col("from_source"))
+        & (F.col("words") == F.col("of_size"))
+    )
+    joined = rows.join(checked(taken), same)
+    single = joined.filter("rows = 1").select(ROW, F.col("total").alias("copies"))
+    if taken.filter("rows > 1").limit(1).count():  # rows alike share what they are taken together
         nth = F.row_number().over(Window.partitionBy(*key).orderBy("text"))
-        several = joined.filter("_rows > 1").withColumn("_nth", nth)
-        share = F.floor(F.col("_total") / F.col("_rows")) + (F.col("_nth") <= F.col("_total") % F.col("_rows")).cast("long")
-        single = single.unionByName(several.withColumn("_copies", share).drop("_nth"))
-    return single.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)
+        share = F.floor(F.col("total") / F.col("rows")) + (nth <= F.col("total") % F.col("rows")).cast("long")
+        single = single.unionByName(joined.filter("rows > 1").select(ROW, share.alias("copies")))
+    return single.select(ROW, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(f"{ROW}.*")

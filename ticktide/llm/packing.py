@@ -8,9 +8,7 @@ runs out. The search is repeated with a little slack allowed, which spares short
 A piece's place then follows from its number within its length: counts before its task are added up per
 length, and the bins of a length are ranges of numbers. No group is sorted or gathered.
 
-Token ids come from the public byte-level vocabulary. Texts are cut at single spaces before ordinary characters, where
-that vocabulary never joins tokens; each different stretch is tokenized once per worker and remembered, up to
-REMEMBERED stretches, and ids are put together from there.
+Token ids come from the public byte-level vocabulary, see ``tokens``.
 
 A NULL or empty text is the end token alone. Repeated rows are packed each. No rows: no pieces.
 """
@@ -26,100 +24,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticktide.llm.common import RangeHash, slices
+from ticktide.llm.common import slices
+from ticktide.llm.tokens import TEXT_BYTES, tokens
 from ticktide.session import written
 
 ROOM = 1024
 END_ID = 2
 #: Room that a bin may leave though it could be filled further; all are tried, the fewest bins count.
 SLACKS = (0, 1, 2, 4, 8, 12, 16, 24, 32)
-REMEMBERED = 2_000_000
-MARK, MARK_ID = "<|endoftext|>", 50256  # Fixed values of the vocabulary.
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long"
 
 
-class Tokens:
-    """Ids of texts, from remembered ids of the stretches between spaces."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)  # sorted
-        self.rank = np.zeros(0, np.int64)
-        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def _encode(self, texts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([t.decode("utf-8") for t in texts], add_special_tokens=False)]
-
-    def _learn(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths and ids; stretches are tokenized in rows of many with the end mark between them."""
-        plain = [MARK.encode() not in s for s in stretches]
-        ids: list[np.ndarray | None] = [None] * len(stretches)
-        at = [k for k, p in enumerate(plain) if p]
-        for first in range(0, len(at), 4096):
-            own = at[first : first + 4096]
-            joined = np.array(self._encode([MARK.encode().join(stretches[k] for k in own)])[0], np.uint32)
-            parts = np.flatnonzero(joined == MARK_ID)
-            bounds = np.concatenate(([-1], parts, [len(joined)]))
-            for k, s, e in zip(own, bounds[:-1] + 1, bounds[1:]):
-                ids[k] = joined[s:e]
-        for k, p in enumerate(plain):
-            if not p:
-                ids[k] = np.array(self._encode([stretches[k]])[0], np.uint32)
-        return np.array([len(x) for x in ids], np.int64), np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-
-    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and the number of ids before each text."""
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        after = data[1:]
-        # white space beyond ASCII begins with one of these bytes
-        ordinary = (after > 0x20) & ~np.isin(after, (0xC2, 0xE1, 0xE2, 0xE3))
-        cut = np.zeros(len(data), bool)
-        cut[:-1] = (data[:-1] == 0x20) & ordinary
-        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
-        start = np.flatnonzero(cut)
-        end = np.append(start[1:], len(data))
-        # a text's first stretch may not begin with a space; it is hashed like any other
-        hashes, first, which = np.unique(RangeHash(data).of(start, end), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, hashes)
-        known = at < len(self.hashes)
-        known[known] = self.hashes[at[known]] == hashes[known]
-        if len(self.hashes) + int((~known).sum()) > REMEMBERED and len(self.hashes):
-            self.clear()
-            known[:] = False
-        if not known.all():
-            new = first[~known]
-            lengths, ids = self._learn([data[s:e].tobytes() for s, e in zip(start[new], end[new])])
-            rank = np.arange(len(self.starts) - 1, len(self.starts) - 1 + len(new))
-            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(lengths)))
-            self.ids = np.concatenate((self.ids, ids))
-            merged = np.concatenate((self.hashes, hashes[~known]))
-            order = np.argsort(merged, kind="stable")
-            self.hashes, self.rank = merged[order], np.concatenate((self.rank, rank))[order]
-            at = np.searchsorted(self.hashes, hashes)
-        rank = self.rank[at][which]
-        lengths = self.starts[rank + 1] - self.starts[rank]
-        before = np.concatenate(([0], np.cumsum(lengths)))
-        out = self.ids[np.repeat(self.starts[rank] - before[:-1], lengths) + np.arange(before[-1])]
-        return out, before[np.searchsorted(start, offsets)]
-
-
-_tokens: dict[str, Tokens] = {}
-
-
-def tokens(path: str) -> Tokens:
-    """One memory of stretches per worker, whatever the number of tasks that it runs."""
-    if path not in _tokens:
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
-
-
 def pieces(docs: DataFrame, vocabulary: str, room: int = ROOM, end_id: int = END_ID) -> DataFrame:
     """Pieces of all rows of ``docs`` (doc_id, text), with their task and their number among its pieces of that length."""
 
@@ -127,7 +43,7 @@ def pieces(docs: DataFrame, vocabulary: str, room: int = ROOM, end_id: int = END
         encoder, task, seen = tokens(vocabulary), TaskContext.get().partitionId(), [0] * (room + 1)
         for batch in batches:
             docs_ids = batch.column(0).to_pylist()
-            for first, _, data, offsets in slices(batch.column(1)):
+            for first, _, data, offsets in slices(batch.column(1), TEXT_BYTES):
                 ids, at = encoder.of(data, offsets)
                 rows = []
                 for k in range(len(offsets) - 1):

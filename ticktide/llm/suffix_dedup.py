@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticktide.llm.common import BROADCAST_ROWS, RangeHash, checked, slices
+from ticktide.llm.common import BROADCAST_ROWS, ROW, RangeHash, boxed, checked, slices
 from ticktide.session import written
 
 WIDTH = 400
@@ -224,25 +224,41 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), spans)], ["k1", "k2", "spans"])
 
 
+def _rest(data: Column, spans: Column) -> Column:
+    """The bytes outside ``spans``, joined through their hexadecimal form: every byte is copied a set number of times."""
+    at = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+    till = lambda i: F.when(i == F.size(spans), F.octet_length(data)).otherwise(F.get(spans, i)["lo"])
+    pieces = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: F.hex(F.substring(data, at(i) + 1, till(i) - at(i))))
+    return F.unhex(F.array_join(pieces, ""))
+
+
+def _cut(docs: DataFrame, width: int) -> DataFrame:
+    """Every row as ROW, its text, ``spans`` and ``kept``."""
+    found = written(repeated(docs, width), "spans")
+    rows = keyed(boxed(docs, "doc_id", "text")).join(checked(found), TEXT, "left")
+    spans = F.coalesce("spans", F.array().cast("array<struct<lo:int,end:int>>"))
+    data = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    rows = rows.select(ROW, "text", spans.alias("spans"), data.alias("data"))
+    return rows.select(ROW, "text", "spans", F.when(F.size("spans") == 0, F.col("data")).otherwise(_rest(F.col("data"), F.col("spans"))).alias("kept"))
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Every row of ``docs`` with its removed ``spans`` (from, to in bytes) and the bytes that are ``kept``."""
-    spans = written(repeated(docs, width), "spans")
-    rows = keyed(docs).join(checked(spans), TEXT, "left").drop(*TEXT)
-    none = F.array().cast("array<struct<lo:int,end:int>>")
-    rows = rows.withColumn("spans", F.coalesce("spans", none)).withColumn("_bytes", F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
-    cut = F.aggregate(
-        "spans",
-        F.struct(F.lit(b"").alias("kept"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(F.concat(acc["kept"], F.substring(F.col("_bytes"), acc["at"] + 1, s["lo"] - acc["at"])).alias("kept"), s["end"].alias("at")),
-        lambda acc: F.concat(acc["kept"], F.substring(F.col("_bytes"), acc["at"] + 1, F.octet_length("_bytes"))),
-    )
-    return rows.withColumn("kept", F.when(F.size("spans") == 0, F.col("_bytes")).otherwise(cut)).drop("_bytes")
+    """Every row of ``docs`` with its removed ``spans`` (from, to in bytes) and the bytes that are ``kept``.
+
+    Columns of ``docs`` that have these two names give way to them; all others are returned as they are.
+    """
+    rows = _cut(docs, width)
+    others = [F.col(ROW)[c].alias(c) for c in docs.columns if c.lower() not in ("spans", "kept")]
+    return rows.select(*others, "spans", "kept")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with the texts that are left; of a character that a cut divides, the other bytes go as well."""
+    """``docs`` with the texts that are left; of a character that a cut divides, the other bytes go as well.
+
+    All other columns are returned as they are, whatever their names.
+    """
     rest = F.make_valid_utf8(F.col("kept").cast("string"))
     # the replacement character stands for cut ones, unless the text has some of its own
     rest = F.when(F.contains("text", F.lit("\ufffd")), rest).otherwise(F.translate(rest, "\ufffd", ""))
-    cut = remove_repeats(docs, width)
-    return cut.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(rest)).drop("spans", "kept")
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(rest)
+    return _cut(docs, width).select(*[text.alias(c) if c == "text" else F.col(ROW)[c].alias(c) for c in docs.columns])
