@@ -25,7 +25,7 @@ def rows_of(spark, name):
     return entry_points.queries()[name](spark, FOLDER).collect()
 
 
-@pytest.mark.parametrize("name", ["op2_exact_topk", "op5_quality_rules", "op6_warc"])
+@pytest.mark.parametrize("name", ["op2_exact_topk", "op5_quality_rules", "op6_warc", "op13_hard_negatives"])
 def test_query_agrees_with_sql(spark, name):
     ok, note = compare.compare(spark, compare.database(FOLDER), FOLDER, name)
     assert ok, note
@@ -134,3 +134,25 @@ def test_suffix_dedup(spark, docs):
     want = plain.removed({k: r["text"] for k, r in docs.items()}, 400)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows_of(spark, "op10_suffix_dedup")}
     assert got == want
+
+
+def test_token_output(spark, docs):
+    import numpy as np
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    at, want = 0, set()
+    for k in sorted(docs):
+        ids = np.array([*tokenizer.encode(docs[k]["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        want.add((k, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert {tuple(r) for r in rows_of(spark, "op12_token_output")} == want
+
+
+def test_whitening(spark):
+    import numpy as np
+
+    from tests.llm.test_whitening import check
+
+    vectors = spark.read.parquet(f"{FOLDER}/embeddings.parquet").filter("embedding is not null").orderBy("vec_id").collect()
+    x = np.floor(64 * np.array([r["embedding"] for r in vectors], np.float32).astype(float)).astype(np.int64) + 1_000_000
+    check(rows_of(spark, "op11_whitening"), [r["vec_id"] for r in vectors], x)

@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticktide.llm import (
-    jaccard, license_scan, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, topk, warc,
+    hard_negatives, jaccard, license_scan, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_files, topk, warc,
+    whitening,
 )
+from ticktide.session import scratch
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -100,11 +103,29 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(whitening.fixed_point(_table(spark, folder, "embeddings")))
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "token_files")
+    token_files.write_tokens(_table(spark, folder, "documents"), path, WORD_VOCABULARY, keep=("lang", "source"))
+    return token_files.checksums(token_files.read_tokens(spark, path))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.whole_components(vectors.withColumn("label", moved))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_exact_topk, op3_sharding, op4_ngram_jaccard, op5_quality_rules, op6_warc, op7_mixing,
-        op8_packing, op9_quality_classifier, op10_suffix_dedup,
+        op8_packing, op9_quality_classifier, op10_suffix_dedup, op11_whitening, op12_token_output, op13_hard_negatives,
     )
 }
 
@@ -170,6 +191,29 @@ FROM judged
 """
 
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike,
+         CAST(list_sum(list_transform(list_zip(a.vec, c.vec), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON len(c.vec) = len(a.vec) WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, vec_id, score FROM pairs WHERE alike AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS n
+  FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.alike
+    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE n <= 3
+"""
+
 # five hexadecimal digits of the digest make four letters
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(sha1, {5 * k + 1}, 5) AS BIGINT) // {32 ** (3 - j)}) % 32 + 1, 1)"
@@ -188,4 +232,4 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
 FROM f
 """
 
-ORACLES = {"op2_exact_topk": TOPK_SQL, "op5_quality_rules": _rules_sql(), "op6_warc": WARC_SQL}
+ORACLES = {"op2_exact_topk": TOPK_SQL, "op5_quality_rules": _rules_sql(), "op6_warc": WARC_SQL, "op13_hard_negatives": NEGATIVES_SQL}
