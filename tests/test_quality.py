@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticktide.operators import embedding_quality as E
+from ticktide.operators import margins
 from ticktide.operators import models as L
 
 
@@ -144,7 +145,7 @@ def test_margin_classifier_separates(spark):
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 60)
     x = rng.normal(size=(60, 3)) + 3 * y[:, None]
-    w = L._margin_weights(np.column_stack([x, np.ones(60)]), np.where(y == 1, 1.0, -1.0), np.ones(60), 1.0)
+    w = margins.margin_weights(np.column_stack([x, np.ones(60)]), np.where(y == 1, 1.0, -1.0), np.ones(60), 1.0)
     assert (((np.column_stack([x, np.ones(60)]) @ w) > 0) == (y == 1)).mean() > 0.95
 
 

@@ -99,9 +99,10 @@ def centroid_similarity(df: DataFrame, stock: str = "Stock", vec: str = "vec", l
         stock, "u", F.col("_t.s").alias("_s"), F.col("_t.n").alias("_n"), F.col("_t.q").alias("_q")
     )
     others = V.dot(F.col("u"), F.col("_s")) - V.dot(F.col("u"), F.col("u"))
-    average = (V.dot(F.col("_s"), F.col("_s")) - F.col("_q")) / (F.col("_n") * (F.col("_n") - 1))
+    several = lambda value: F.when(F.col("_n") > 1, value)  # noqa: E731  a lone symbol has no others: NULL
+    average = several((V.dot(F.col("_s"), F.col("_s")) - F.col("_q")) / (F.col("_n") * (F.col("_n") - 1)))
     return rows.select(
-        stock, (others / (F.col("_n") - 1)).alias("mean_cosine_to_others"), average.alias("avg_off_diagonal")
+        stock, several(others / (F.col("_n") - 1)).alias("mean_cosine_to_others"), average.alias("avg_off_diagonal")
     ).withColumn("too_similar", F.col("avg_off_diagonal") > limit)
 
 
@@ -150,23 +151,29 @@ def _places(df: DataFrame, group: Sequence[str], seed: int, vec: str) -> DataFra
 def l2_quality(
     df: DataFrame, key: Column, label: str = "Target_Label", stock: str = "Stock", vec: str = "vec"
 ) -> DataFrame:
-    """Mean L2 distance of random pairs within and between classes, one for every row that finds a partner.
+    """Mean L2 distance of random pairs within and between classes; every row is paired.
 
-    Two independent random orders of a class are paired place by place, so a row may meet itself.
+    Two independent random orders of a class are paired place by place, so a row may meet itself. Between the classes
+    the order of the smaller one is run through again until every row of the larger one has a partner.
     """
     every = with_all(df.select(stock, label, F.col(vec), key.alias("_key")), stock)
-    a, b = (_places(every, [stock, label], seed, vec) for seed in (1, 2))
-    pairs = (
-        a.withColumnRenamed("v", "va").withColumnRenamed(label, "ca")
-        .join(b.withColumnRenamed("v", "vb").withColumnRenamed(label, "cb"), [stock, "place"])
-        .filter((F.col("ca") == F.col("cb")) | ((F.col("ca") == 0) & (F.col("cb") == 1)))
-    )
+    a, b = (written(_places(every, [stock, label], seed, vec), "places") for seed in (1, 2))
+    alike = a.withColumnRenamed("v", "va").join(b.withColumnRenamed("v", "vb"), [stock, label, "place"])
+    sizes = written(a.groupBy(stock).agg(*[F.count(F.when(F.col(label) == y, 1)).alias(f"n{y}") for y in (0, 1)]), "sizes")
+
+    def spread(rows: DataFrame, y: int, name: str) -> DataFrame:
+        """Rows of class ``y`` at every place that they take; a row of the smaller class takes one in each run."""
+        own = rows.filter(F.col(label) == y).drop(label)
+        sized = own.join(F.broadcast(sizes), stock) if sizes.count() <= BROADCAST_GROUPS else join_spread(own, sizes, [stock], F.hash("v"))
+        n, other = F.col(f"n{y}"), F.col(f"n{1 - y}")
+        taken = F.sequence(F.col("place"), F.greatest(n, other), n)
+        return sized.filter(other > 0).select(stock, F.col("v").alias(name), F.explode(taken).alias("place"))
+
+    between = spread(a, 0, "va").join(spread(b, 1, "vb"), [stock, "place"])
     d = V.l2(F.col("va"), F.col("vb"))
-    return pairs.groupBy(stock).agg(
-        F.avg(F.when((F.col("ca") == 0) & (F.col("cb") == 0), d)).alias("intra_l2_down"),
-        F.avg(F.when((F.col("ca") == 1) & (F.col("cb") == 1), d)).alias("intra_l2_up"),
-        F.avg(F.when((F.col("ca") == 0) & (F.col("cb") == 1), d)).alias("inter_l2"),
-    )
+    pairs = alike.select(stock, F.col(label).alias("pair"), d.alias("d")).unionByName(between.select(stock, F.lit(2).alias("pair"), d.alias("d")))
+    mean = lambda k: F.avg(F.when(F.col("pair") == k, F.col("d")))
+    return pairs.groupBy(stock).agg(mean(0).alias("intra_l2_down"), mean(1).alias("intra_l2_up"), mean(2).alias("inter_l2"))
 
 
 def fisher_ratio(distances: DataFrame) -> DataFrame:

@@ -1,73 +1,33 @@
-"""Classifiers per symbol.
+"""Classifiers per symbol: features, grouped fits, scores and reports.
 
-Features, components, margin and logistic classifiers of all symbols are grouped plans. Only the
-Spark ML learners (trees, nets) are fitted symbol by symbol, several at a time. A symbol's rows
-are one per trading day, so a fit is small; what grows is the number of symbols.
+Everything is a grouped plan over all symbols: the number of jobs depends on no list of them. A symbol's rows are one
+per trading day, so its fits are groups of bounded size; the group of all symbols is fitted by summed moments.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticktide.functions import vectors as V
 from ticktide.functions.display import half_even
 from ticktide.operators import embedding_quality as E
+from ticktide.operators import logistic
 from ticktide.operators import metrics as M
 from ticktide.operators import panel as P
 from ticktide.operators import scaling as S
+from ticktide.operators import trees
 from ticktide.operators.ordered import hash_ranges
 from ticktide.session import written
 
 LABEL = "Target_Label"
 
 
-def symbols_of(panel: DataFrame, minimum: int = 60) -> list[str]:
-    """Symbols with enough rows; this list drives the fits."""
-    return [r.Stock for r in P.rows_per_stock(panel, minimum).filter("enough").orderBy("Stock").collect()]
-
-
-def each(items: Iterable, work: Callable, parallelism: int = 4) -> list:
-    with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(work, items))
-
-
-def stack(frames: Sequence[DataFrame], none: DataFrame) -> DataFrame:
-    """All rows of ``frames``; without frames the columns of ``none`` and no rows."""
-    if not frames:
-        return none.filter(F.lit(False))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-ROWS_PER_TASK = 100_000
-
-
-def compact(rows: DataFrame, n: int) -> DataFrame:
-    """Few partitions for the many short passes of a fit: one per ``ROWS_PER_TASK`` of the ``n`` rows."""
-    return rows.coalesce(max(1, -(-n // ROWS_PER_TASK)))
-
-
-def sizes_of(rows: DataFrame) -> dict[str, int]:
-    return {r["Stock"]: r["n"] for r in P.value_counts(rows, "Stock").collect()}
-
-
 # ---- features -----------------------------------------------------------------------
 
 def lagged_prices(panel: DataFrame) -> DataFrame:
@@ -120,25 +80,53 @@ def _moments(group: str, vec: str):
     return run
 
 
+def principal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Variances and unit components of the rows of ``x``, largest first.
+
+    Of fewer rows than dimensions the n x n products of rows are decomposed and mapped back; further components are
+    directions in which nothing varies.
+    """
+    n, dim = x.shape
+    centred = x - x.mean(axis=0)
+    if n >= dim:
+        values, vectors = np.linalg.eigh(centred.T @ centred / max(n - 1, 1))
+        return np.maximum(values[::-1], 0.0), vectors[:, ::-1].T
+    values, vectors = np.linalg.eigh(centred @ centred.T / max(n - 1, 1))
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1].T
+    varies = values > values.max(initial=0.0) * dim * np.finfo(float).eps
+    mapped = vectors[varies] @ centred
+    mapped /= np.linalg.norm(mapped, axis=1, keepdims=True)
+    # the rest of a whole basis: what is left of the axes once the components are taken out
+    rest = np.linalg.svd(mapped, full_matrices=True)[2][len(mapped) :] if len(mapped) else np.eye(dim)
+    return np.concatenate((values[varies], np.zeros(dim - varies.sum()))), np.concatenate((mapped, rest))
+
+
 def pca_basis(
-    rows: DataFrame, vec: str = "vec", variance: float | None = 0.90, k: int | None = None, group: str = "Stock"
+    rows: DataFrame, vec: str = "vec", variance: float | None = 0.90, k: int | None = None, group: str = "Stock", by_rows: bool = False
 ) -> DataFrame:
     """(group, ratios, components, basis) of every group in one plan.
 
     Tasks add up moments, so a group travels as one dim x dim matrix per task that holds rows of it,
-    and one call decomposes each group's sum. The largest entry of a basis vector is positive.
+    and one call decomposes each group's sum. ``by_rows`` gathers a group's rows instead: for wide vectors
+    of groups that have few rows, as a symbol's train days. The largest entry of a basis vector is positive.
     Keeps the fewest components whose variance adds up to more than ``variance``, or ``k``; all, if nothing varies.
     """
-    schema = f"`{group}` string, n long, s array<double>, q array<double>"
-    ordered = rows.filter(F.col(group).isNotNull()).select(group, vec).sortWithinPartitions(group)
-    parts = ordered.mapInPandas(_moments(group, vec), schema)
+    given = rows.filter(F.col(group).isNotNull()).select(group, vec)
+    if by_rows:
+        parts = given
+    else:
+        parts = given.sortWithinPartitions(group).mapInPandas(_moments(group, vec), f"`{group}` string, n long, s array<double>, q array<double>")
 
     def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, s = pdf["n"].sum(), np.sum(np.stack(pdf["s"].to_numpy()), axis=0)
-        dim = len(s)
-        q = np.sum(np.stack(pdf["q"].to_numpy()), axis=0).reshape(dim, dim)
-        values, vectors = np.linalg.eigh((q - np.outer(s, s) / n) / max(n - 1, 1))
-        values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1].T
+        if by_rows:
+            values, vectors = principal(np.stack(pdf[vec].to_numpy()))
+            dim = len(values)
+        else:
+            n, s = pdf["n"].sum(), np.sum(np.stack(pdf["s"].to_numpy()), axis=0)
+            dim = len(s)
+            q = np.sum(np.stack(pdf["q"].to_numpy()), axis=0).reshape(dim, dim)
+            values, vectors = np.linalg.eigh((q - np.outer(s, s) / n) / max(n - 1, 1))
+            values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1].T
         total = values.sum()
         ratios = values / total if total > 0 else np.zeros(dim)
         reached = np.flatnonzero(np.cumsum(ratios) > variance) if k is None else np.array([min(k, dim) - 1])
@@ -153,14 +141,15 @@ def pca_basis(
 
 
 def pca_reduce(
-    rows: DataFrame, vec: str = "vec", variance: float | None = 0.90, k: int | None = None, train: Column | None = None, group: str = "Stock"
+    rows: DataFrame, vec: str = "vec", variance: float | None = 0.90, k: int | None = None, train: Column | None = None, group: str = "Stock",
+    by_rows: bool = False,
 ) -> Reduced:
     """Turn ``vec`` per group into its components on the train rows; groups without train rows are left out.
 
     Rows must be centred on the train part (see scaling). The number of jobs does not depend on
     the number of groups, and a group may hold any share of the rows.
     """
-    basis = written(pca_basis(rows if train is None else rows.filter(train), vec, variance, k, group), "basis")
+    basis = written(pca_basis(rows if train is None else rows.filter(train), vec, variance, k, group, by_rows), "basis")
     joined = P.join_hot_keys(rows, basis.select(group, "basis"), group, F.hash(vec))
     projected = F.transform("basis", lambda b: V.dot(F.col(vec), b))
     out = joined.withColumn(vec, projected).select(*rows.columns)
@@ -193,91 +182,54 @@ IN_TRAIN = "split = 'train'"
 
 
 def _ready(rows: DataFrame, features: Column, weigh: Callable[[DataFrame, Column], DataFrame] = weighted) -> DataFrame:
-    """Feature rows written once to the shared folder: the fits read them many times."""
+    """Feature rows written once to the shared folder: Stock, Target_Date, split, label, weight and x. The fits read them several times."""
     ready = weigh(rows, F.expr(IN_TRAIN)).select(
-        "Stock", "Target_Date", "split", LABEL, "weight", F.col(LABEL).cast("double").alias("label"),
-        array_to_vector(features).alias("features"),
+        "Stock", "Target_Date", "split", LABEL, "weight", F.col(LABEL).cast("double").alias("label"), features.alias("x"),
     )
-    return written(ready)
+    return written(ready, "features")
 
 
-def forest_features(panel: DataFrame, symbols: Sequence[str], variance: float = 0.90) -> tuple[DataFrame, Reduced]:
+def forest_features(panel: DataFrame, variance: float = 0.90) -> tuple[DataFrame, Reduced]:
     """Scaled vector reduced by PCA, then the scaled prices."""
-    rows = written(scaled_parts(panel).filter(F.col("Stock").isin(list(symbols))))
-    reduced = pca_reduce(rows, variance=variance, train=F.expr(IN_TRAIN))
+    reduced = pca_reduce(written(scaled_parts(panel), "scaled"), variance=variance, train=F.expr(IN_TRAIN))
     return _ready(reduced.rows, F.concat("vec", "price")), reduced
 
 
-def margin_features(panel: DataFrame, symbols: Sequence[str], variance: float = 0.95) -> tuple[DataFrame, Reduced]:
+def margin_features(panel: DataFrame, variance: float = 0.95, by_rows: bool = False) -> tuple[DataFrame, Reduced]:
     """Vector and prices scaled together, then reduced by PCA."""
-    rows = scaled_parts(panel).filter(F.col("Stock").isin(list(symbols))).withColumn("vec", F.concat("vec", "price"))
-    reduced = pca_reduce(written(rows), variance=variance, train=F.expr(IN_TRAIN))
+    rows = scaled_parts(panel).withColumn("vec", F.concat("vec", "price"))
+    reduced = pca_reduce(written(rows, "scaled"), variance=variance, train=F.expr(IN_TRAIN), by_rows=by_rows)
     return _ready(reduced.rows, F.col("vec")), reduced
 
 
-def boosting_features(panel: DataFrame, weigh: Callable[[DataFrame, Column], DataFrame] = weighted) -> DataFrame:
-    """The scaled vector alone."""
-    return _ready(scaled_parts(panel), F.col("vec"), weigh)
-
-
-# ---- estimators ---------------------------------------------------------------------
-
-def random_forest(trees: int = 500, depth: int = 2, leaf: int = 10, sample: float = 0.8, seed: int = 42) -> RandomForestClassifier:
-    return RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt",
-        subsamplingRate=sample, weightCol="weight", seed=seed,
-    )
-
-
-def gradient_boosting(rounds: int = 500, rate: float = 0.05, depth: int = 3, leaf: int = 5, seed: int = 42) -> GBTClassifier:
-    """Stops early on the rows marked ``is_val``."""
-    return GBTClassifier(
-        maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=leaf, subsamplingRate=0.8,
-        featureSubsetStrategy="0.05", validationIndicatorCol="is_val", weightCol="weight", seed=seed,
-    )
-
-
-def neural_classifier(inputs: int, iterations: int = 100, seed: int = 42) -> MultilayerPerceptronClassifier:
-    return MultilayerPerceptronClassifier(layers=[inputs, 32, 16, 2], maxIter=iterations, seed=seed)
-
-
-def logistic(iterations: int = 500, reg: float = 0.01) -> LogisticRegression:
-    return LogisticRegression(maxIter=iterations, regParam=reg, weightCol="weight")
-
-
-def oversampled(rows: DataFrame) -> DataFrame:
-    """Rows of the rarer class repeated in whole numbers, for learners without weights."""
-    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.round("weight"), F.lit(1)).cast("int")))).drop("_i")
+def plain_features(panel: DataFrame, weigh: Callable[[DataFrame, Column], DataFrame] = weighted, prices: bool = False) -> DataFrame:
+    """The scaled vector as it is, with the scaled prices behind it if asked for."""
+    return _ready(scaled_parts(panel), F.concat("vec", "price") if prices else F.col("vec"), weigh)
 
 
 # ---- fitting and scoring ------------------------------------------------------------
 
-Fit = Callable[[str, DataFrame], Model]
-
+FOREST = trees.Growth(depth=2, leaf_rows=10)
+#: The archive's forest, fitted on train and validation rows.
+DEEP_FOREST = trees.Growth(depth=5, leaf_rows=10)
+KEEP = ("Target_Date", "split", LABEL)
 
-def fit_each(rows: DataFrame, symbols: Sequence[str], fit: Fit, parallelism: int = 4) -> dict[str, Model]:
-    """A model per symbol that has rows; symbols of one class have none, as their classes can't be weighted."""
-    n = sizes_of(rows)
-    present = [s for s in symbols if s in n]
-    one = lambda s: fit(s, compact(rows.filter(F.col("Stock") == s), n[s]))
-    return dict(zip(present, each(present, one, parallelism)))
 
+def fit_forest(ready: DataFrame, n: int = 500, growth: trees.Growth = FOREST, fit_on: str = IN_TRAIN, sample: float = 0.8) -> DataFrame:
+    """Trees of every symbol's forest, as rows; ``ready`` as of :func:`forest_features`."""
+    rows = ready.filter(fit_on).withColumn("fold", F.lit(-1))
+    return written(trees.fit_forest(rows, n, growth, sample), "trees")
 
-def fit_with(estimator: Estimator) -> Fit:
-    return lambda symbol, rows: estimator.fit(rows.filter(IN_TRAIN))
 
+def score_forest(ready: DataFrame, fitted: DataFrame, model: str = "rf", boosted: bool = False) -> DataFrame:
+    """(Stock, Target_Date, split, label, model, y_prob) of every row whose symbol has trees."""
+    scored = trees.score_trees(ready.withColumn("fold", F.lit(-1)), fitted, KEEP, boosted)
+    return scored.select("Stock", *KEEP, F.lit(model).alias("model"), "y_prob")
 
-def probability_up() -> Column:
-    return vector_to_array("probability")[1]
 
-
-def score_batch(models: dict[str, Model], rows: DataFrame, model: str, keep: Sequence[str] = ("Target_Date", "split", LABEL)) -> DataFrame:
-    """(Stock, keep..., model, y_prob) of every symbol that has a model."""
-    parts = []
-    for symbol, fitted in models.items():
-        scored = fitted.transform(rows.filter(F.col("Stock") == symbol))
-        parts.append(scored.select("Stock", *keep, F.lit(model).alias("model"), probability_up().alias("y_prob")))
-    return stack(parts, rows.select("Stock", *keep, F.lit(model).alias("model"), F.lit(0.0).alias("y_prob")))
+def fit_boosting(ready: DataFrame, how: trees.Boosting = trees.Boosting()) -> DataFrame:
+    """Boosted trees of every symbol, up to its best round."""
+    return written(trees.fit_boosting(ready.filter("split <> 'test'").withColumn("fold", F.lit(-1)), how), "trees")
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
@@ -290,65 +242,21 @@ def evaluate(scored: DataFrame) -> DataFrame:
     return report.join(parts, ["model", "Stock"]).withColumn("overfit_gap", half_even(F.col("train_acc") - F.col("accuracy")))
 
 
-def cross_validate(folded: DataFrame, symbols: Sequence[str], make: Callable[[], Estimator], folds: int = 5, name: str = "cv", parallelism: int = 4) -> DataFrame:
-    """Mean and population deviation over folds of AUC and accuracy.
-
-    ``folded`` has ``fold``; with ``role`` too, a fold's rows are those of that role, else
-    the test rows are the fold and the train rows all others.
-    """
-    timed = "role" in folded.columns
-    n = sizes_of(folded)
-
-    def one(job: tuple[str, int]) -> DataFrame:
-        symbol, i = job
-        mine = compact(folded.filter(F.col("Stock") == symbol), n[symbol])
-        here = F.col("fold") == i
-        train = mine.filter(here & (F.col("role") == "train")) if timed else mine.filter(~here)
-        test = mine.filter(here & (F.col("role") == "test")) if timed else mine.filter(here)
-        scored = make().fit(train).transform(test)
-        return scored.select("Stock", F.lit(f"{name}:{i}").alias("model"), F.col(LABEL).alias("y_true"), probability_up().alias("y_prob"))
-
-    none = folded.select("Stock", F.lit(name).alias("model"), F.col(LABEL).alias("y_true"), F.lit(0.0).alias("y_prob"))
-    scored = written(stack(each([(s, i) for s in symbols if s in n for i in range(folds)], one, parallelism), none))
-    per_fold = M.roc_auc(scored).join(M.rates(M.confusion_matrix(scored)).select("model", "Stock", "accuracy"), ["model", "Stock"])
+def cv_report(scored: DataFrame) -> DataFrame:
+    """Mean and population deviation over folds of AUC and accuracy; ``scored`` holds Stock, fold, y_true and y_prob."""
+    rows = written(scored.select("Stock", "fold", "y_true", "y_prob"), "cv")
+    key = ["Stock", "fold"]
+    per_fold = M.roc_auc(rows, key).join(M.rates(M.confusion_matrix(rows, key)).select(*key, "accuracy"), key)
     return per_fold.groupBy("Stock").agg(
         F.avg("auc_roc").alias("cv_auc_mean"), F.stddev_pop("auc_roc").alias("cv_auc_std"),
         F.avg("accuracy").alias("cv_acc_mean"), F.stddev_pop("accuracy").alias("cv_acc_std"),
     )
 
 
-GRID = (0.01, 0.1, 1.0, 10.0)
-
-
-def _margin_weights(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float, steps: int = 50) -> np.ndarray:
-    """Squared-hinge linear SVM: ridge regression on the rows inside the margin until they stay the same."""
-    ridge = np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-6  # the last column is the intercept
-    inside, b = np.ones(len(y), dtype=bool), np.zeros(x.shape[1])
-    for _ in range(steps):
-        weighted_x = x[inside] * (2 * c * w[inside])[:, None]
-        b = np.linalg.solve(ridge + weighted_x.T @ x[inside], weighted_x.T @ y[inside])
-        now = y * (x @ b) < 1
-        if (now == inside).all() or not now.any():
-            break
-        inside = now
-    return b
-
-
-def fit_margins(rows: DataFrame, grid: Sequence[float] = GRID) -> DataFrame:
-    """(Stock, fold, C, weights) of every symbol and fold in one job, a group per task.
-
-    A group holds one symbol's train rows, one per trading day.
-    """
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.stack(pdf["x"].to_numpy()), np.ones(len(pdf))])
-        y, w = np.where(pdf[LABEL] == 1, 1.0, -1.0), pdf["weight"].to_numpy()
-        key = {"Stock": pdf["Stock"].iloc[0], "fold": pdf["fold"].iloc[0]}
-        return pd.DataFrame([{**key, "C": c, "weights": _margin_weights(x, y, w, c)} for c in grid])
-
-    given = rows.select("Stock", "fold", LABEL, "weight", "x")
-    return given.groupBy("Stock", "fold").applyInPandas(fit, "Stock string, fold int, C double, weights array<double>")
+def cross_validate_forest(folded: DataFrame, n: int = 500, growth: trees.Growth = FOREST) -> DataFrame:
+    """:func:`cv_report` of forests fitted on all folds but one; ``folded`` as of :func:`forest_features`, with ``fold``."""
+    scored = trees.cross_scores(folded, n, growth, (LABEL,))
+    return cv_report(scored.withColumnRenamed(LABEL, "y_true"))
 
 
 def _logistic_weights(x: np.ndarray, y: np.ndarray, w: np.ndarray, reg: float, steps: int) -> np.ndarray:
@@ -374,7 +282,7 @@ def _logistic_weights(x: np.ndarray, y: np.ndarray, w: np.ndarray, reg: float, s
 
 
 def fit_logistics(rows: DataFrame, reg: float = 0.01, steps: int = 100) -> DataFrame:
-    """(Stock, weights) of every symbol in one job, a group per task; ``rows`` as of :func:`boosting_features`.
+    """(Stock, weights) of every symbol in one job, a group per task; ``rows`` as of :func:`plain_features`.
 
     A group holds one symbol's train rows, one per trading day.
     """
@@ -384,53 +292,13 @@ def fit_logistics(rows: DataFrame, reg: float = 0.01, steps: int = 100) -> DataF
         weights = _logistic_weights(x, pdf["label"].to_numpy(), pdf["weight"].to_numpy(), reg, steps)
         return pd.DataFrame({"Stock": [pdf["Stock"].iloc[0]], "weights": [weights]})
 
-    given = rows.filter(IN_TRAIN).select("Stock", "label", "weight", vector_to_array("features").alias("x"))
+    given = rows.filter(IN_TRAIN).select("Stock", "label", "weight", "x")
     return given.groupBy("Stock").applyInPandas(fit, "Stock string, weights array<double>")
 
 
-def score_weights(rows: DataFrame, fits: DataFrame, model: str, keep: Sequence[str] = ("Target_Date", "split", LABEL)) -> DataFrame:
+def score_weights(rows: DataFrame, fits: DataFrame, model: str, keep: Sequence[str] = KEEP) -> DataFrame:
     """(Stock, keep..., model, y_prob) of every symbol that has weights, by one join."""
-    x = vector_to_array("features")
-    return rows.join(fits, "Stock").select("Stock", *keep, F.lit(model).alias("model"), margin_probability(F.col("weights"), x).alias("y_prob"))
-
-
-def margin_probability(weights: Column, x: Column) -> Column:
-    """Decision value put through the logistic curve; ``weights`` end with the intercept."""
-    return F.lit(1.0) / (F.exp(-V.dot(weights, F.concat(x, F.array(F.lit(1.0))))) + 1.0)
-
-
-def svm_grid_search(rows: DataFrame, grid: Sequence[float] = GRID, folds: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Scored rows of the best C per symbol, refitted on train and val rows; and (Stock, best_C, best_cv_auc).
-
-    Every C is judged by its mean AUC over expanding time folds. All fits are one grouped job.
-    """
-    rows = rows.withColumn("x", vector_to_array("features"))
-    fit_on = rows.filter("split <> 'test'")
-    folded = M.time_series_folds(fit_on, folds).select("Stock", "Target_Date", LABEL, "weight", "x", "fold", "role")
-    refit = fit_on.select("Stock", "Target_Date", LABEL, "weight", "x", F.lit(-1).alias("fold"), F.lit("train").alias("role"))
-    jobs = folded.unionByName(refit)
-    fits = written(fit_margins(jobs.filter("role = 'train'"), grid))
-    judged = folded.filter("role = 'test'").join(fits, ["Stock", "fold"])
-    scored = judged.select("Stock", "fold", "C", F.col(LABEL).alias("y_true"), margin_probability(F.col("weights"), F.col("x")).alias("y_prob"))
-    mean = M.roc_auc(written(scored), ["Stock", "fold", "C"]).groupBy("Stock", "C").agg(F.avg("auc_roc").alias("auc"))
-    best = written(
-        mean.groupBy("Stock").agg(F.min_by(F.struct("C", "auc"), F.struct(-F.col("auc"), F.col("C"))).alias("b"))
-        .select("Stock", F.col("b.C").alias("best_C"), half_even(F.col("b.auc")).alias("best_cv_auc"))
-    )
-    chosen = fits.filter("fold = -1").join(best, "Stock").filter(F.col("C") == F.col("best_C")).select("Stock", "weights")
-    out = rows.join(chosen, "Stock").select(
-        "Stock", "Target_Date", "split", LABEL, F.lit("svm").alias("model"), margin_probability(F.col("weights"), F.col("x")).alias("y_prob")
-    )
-    return out, best
-
-
-def feature_names(components: int, prices: Sequence[str] = P.PRICE_COLUMNS, prefix: str = "pca_") -> list[str]:
-    return [f"{prefix}{i}" for i in range(components)] + list(prices)
-
-
-def importances(models: dict[str, Model], names: dict[str, Sequence[str]], spark) -> DataFrame:
-    rows = [(s, n, float(x)) for s, m in models.items() for n, x in zip(names[s], m.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "Stock string, feature string, importance double")
+    return rows.join(fits, "Stock").select("Stock", *keep, F.lit(model).alias("model"), logistic.chance(F.col("weights"), F.col("x")).alias("y_prob"))
 
 
 def top_k_features(importance: DataFrame, k: int = 20) -> DataFrame:
@@ -450,14 +318,14 @@ def probe_folds(rows: DataFrame, order: Column, k: int = 50, folds: int = 5) ->
     return written(M.stratified_folds(kept, order, folds, first="key", ranges=hash_ranges), "folds"), reduced
 
 
-def linear_probe(rows: DataFrame, groups: Sequence[str], order: Column, k: int = 50, folds: int = 5, parallelism: int = 8) -> DataFrame:
+def linear_probe(rows: DataFrame, order: Column, k: int = 50, folds: int = 5) -> DataFrame:
     """Balanced logistic regression on the rows of :func:`probe_folds`: five-fold accuracy and AUC per group."""
-    return probe_of_folds(*probe_folds(rows, order, k, folds), groups, k, folds, parallelism)
+    return probe_of_folds(*probe_folds(rows, order, k, folds), k)
 
 
-def probe_of_folds(folded: DataFrame, reduced: Reduced, groups: Sequence[str], k: int = 50, folds: int = 5, parallelism: int = 8) -> DataFrame:
-    ready = written(folded.withColumn("label", F.col(LABEL).cast("double")).withColumn("features", array_to_vector("vec")))
-    cv = cross_validate(ready, groups, logistic, folds, "probe", parallelism)
+def probe_of_folds(folded: DataFrame, reduced: Reduced, k: int = 50) -> DataFrame:
+    rows = folded.select("Stock", "fold", "key", "weight", F.col(LABEL).cast("double").alias("label"), F.col("vec").alias("x"))
+    cv = cv_report(logistic.cross_scores(rows))
     kept = reduced.variance.filter(F.col("component") < k).groupBy("Stock").agg(F.sum("ratio").alias("pca_variance_explained"))
     return cv.join(kept, "Stock").select(
         "Stock", half_even(F.col("cv_acc_mean")).alias("logreg_acc"), half_even(F.col("cv_acc_std")).alias("logreg_acc_std"),
@@ -472,10 +340,9 @@ def separability(rows: DataFrame, order: Column, minimum: int = E.MIN_ROWS) -> D
     """
     two = (F.count(F.lit(1)) >= minimum) & (F.min(LABEL) != F.max(LABEL))
     groups = written(rows.groupBy("Stock").agg(two.alias("fit")), "groups")
-    fit = [x.Stock for x in groups.filter("fit").orderBy("Stock").collect()]
     rows = written(P.join_spread(rows, groups.filter("fit").select("Stock"), ["Stock"], F.col("key")), "probed")
     folded, reduced = probe_folds(rows, order)
-    probe = probe_of_folds(folded, reduced, fit)
+    probe = probe_of_folds(folded, reduced)
     near = E.knn_accuracy(E.knn_vote(folded, label=LABEL, group="Stock"))
     shape = E.silhouette_by_group(S.standard_scale(rows, "vec", spread=F.col("key")))
     return (

@@ -24,10 +24,11 @@ def pack(value: str, pos: str = "pos") -> str:
 CTE: dict[str, str] = {
     "symbols": """SELECT r_regionkey AS symbol_rank, r_name AS Stock, r_name || '.BK' AS Ticker,
         lower(r_name) || ' public company' AS name FROM region""",
-    "lines": """SELECT r_name AS Stock, CAST(l_shipdate AS DATE) AS Date, l_extendedprice / l_quantity AS price,
-        l_quantity AS quantity, row(l_orderkey, l_linenumber, l_extendedprice, l_quantity) AS seq
+    "lines": """SELECT r_name AS Stock, CAST(l_shipdate AS DATE) + CASE isodow(l_shipdate) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS Date,
+        l_extendedprice / l_quantity AS price, l_quantity AS quantity,
+        row(CAST(l_shipdate AS DATE), l_orderkey, l_linenumber, l_extendedprice, l_quantity) AS seq
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-        JOIN region ON n_regionkey = r_regionkey WHERE isodow(l_shipdate) <= 5""",
+        JOIN region ON n_regionkey = r_regionkey""",
     "prices": """SELECT Stock, Date, arg_min(price, seq) AS Open, max(price) AS High, min(price) AS Low,
         arg_max(price, seq) AS Close, sum(quantity) AS Volume FROM lines GROUP BY Stock, Date""",
     "news": """SELECT doc_id AS news_id, Stock, DATE '1995-03-01' + CAST((doc_id * 37) % 250 AS INTEGER) AS Date,
@@ -119,12 +120,13 @@ CTE: dict[str, str] = {
         CAST(printf('%.4f', CAST(CASE WHEN y_prob >= 0.5 THEN y_prob ELSE 1 - y_prob END AS DOUBLE)) AS DOUBLE) AS confidence,
         CASE WHEN y_prob >= 0.5 THEN 1 ELSE 0 END AS signal, CASE WHEN y_prob >= 0.5 THEN 'Up' ELSE 'Down' END AS label,
         row_number() OVER (PARTITION BY Stock, model ORDER BY Target_Date DESC) AS rn FROM scored)
-        WHERE rn = 1 AND Stock <> 'MIDDLE EAST' AND NOT (Stock = 'EUROPE' AND model = 'lstm')""",
+        WHERE rn = 1""",
     "feed_items": """SELECT Stock, Title AS headline, event_type AS source, strftime(ts, '%Y-%m-%d') AS date, Link AS link,
         CAST(epoch_us(ts) / 1000000.0 AS DOUBLE) AS timestamp,
         CAST(row_number() OVER (PARTITION BY Stock ORDER BY ts DESC, item_id) AS INTEGER) AS item_rank FROM feed""",
     "stored_items": """SELECT Stock, headline, source, date, link, CASE WHEN source = 'view' THEN NULL ELSE timestamp END AS timestamp,
-        item_rank FROM feed_items WHERE item_rank <= 10 AND Stock < 'EUROPE'""",
+        item_rank FROM feed_items WHERE item_rank <= 10 AND Stock IN (SELECT Stock FROM feed GROUP BY Stock
+        HAVING count(*) >= (SELECT avg(n) FROM (SELECT count(*) AS n FROM feed GROUP BY Stock)))""",
     "quotes": """SELECT s.Stock, CASE WHEN n = 2 THEN printf('%.2f', cur) ELSE '-' END AS price,
         CASE WHEN n = 2 THEN (CASE WHEN cur - prev >= 0 THEN '+' ELSE '' END) || printf('%.2f', cur - prev) || ' ('
           || (CASE WHEN cur - prev >= 0 THEN '+' ELSE '' END)

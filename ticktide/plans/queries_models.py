@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ticktide.operators import embedding_quality as E
 from ticktide.operators import metrics as M
 from ticktide.operators import models as L
+from ticktide.operators import margins, recurrent, trees
 from ticktide.operators import panel as P
 from ticktide.plans.queries_panel import panel, panel_once
 from ticktide.plans.queries_quality import POINTS, quality, row_key
@@ -19,11 +20,6 @@ from ticktide.sources.tables import Tables
 REPORT = ("model", "Stock", "n_test", "accuracy", "f1_score", "auc_roc", "precision_up", "recall_up", "train_acc", "val_acc", "overfit_gap")
 
 
-def gated(t: Tables, minimum: int = 60) -> tuple[DataFrame, list[str]]:
-    rows = written(panel(t))
-    return rows, L.symbols_of(rows, minimum)
-
-
 def gated_panel(t: Tables, minimum: int = 60) -> DataFrame:
     return P.enough_rows(written(panel(t)), minimum)
 
@@ -33,11 +29,6 @@ def gated_parts(t: Tables) -> DataFrame:
     return written(L.scaled_parts(gated_panel(t)))
 
 
-def sizes(reduced: L.Reduced) -> dict[str, int]:
-    """Components per symbol, for fits that go symbol by symbol."""
-    return {x.Stock: x.components for x in reduced.components.collect()}
-
-
 @query("m2_pca_reduce")
 def pca_reduce(t: Tables) -> DataFrame:
     reduced = L.pca_reduce(gated_parts(t), variance=0.90, train=F.expr(L.IN_TRAIN))
@@ -52,78 +43,72 @@ def pca_variance_curve(t: Tables) -> DataFrame:
 
 @query("m4_random_forest")
 def random_forest(t: Tables) -> DataFrame:
-    rows, symbols = gated(t)
-    ready, _ = L.forest_features(rows, symbols)
-    models = L.fit_each(ready, symbols, L.fit_with(L.random_forest()))
-    return L.evaluate(L.score_batch(models, ready, "rf")).select(*REPORT)
+    ready, _ = L.forest_features(gated_panel(t))
+    return L.evaluate(L.score_forest(ready, L.fit_forest(ready))).select(*REPORT)
+
+
+@query("m4_archive_forest")
+def archive_forest(t: Tables) -> DataFrame:
+    """Deeper trees on the scaled vector and prices as they are, fitted on train and validation rows."""
+    ready = L.plain_features(gated_panel(t), prices=True)
+    fitted = L.fit_forest(ready, 300, L.DEEP_FOREST, "split <> 'test'", sample=1.0)
+    return L.evaluate(L.score_forest(ready, fitted)).select(*REPORT)
 
 
 @query("d7_top_k_features")
 def top_k_features(t: Tables) -> DataFrame:
-    rows, symbols = gated(t)
-    ready, reduced = L.forest_features(rows, symbols)
-    models = L.fit_each(ready, symbols, L.fit_with(L.random_forest()))
-    components = sizes(reduced)
-    names = {s: L.feature_names(components[s]) for s in models}
-    return L.top_k_features(L.importances(models, names, t.spark)).select("Stock", "place", "feature", r("importance"), "is_price")
+    ready, reduced = L.forest_features(gated_panel(t))
+    found = trees.named(trees.importances(L.fit_forest(ready)), reduced.components, P.PRICE_COLUMNS)
+    return L.top_k_features(found).select("Stock", "place", "feature", r("importance"), "is_price")
 
 
 @query("m5_svm_grid_search")
 def svm_grid_search(t: Tables) -> DataFrame:
-    rows, symbols = gated(t, 80)
-    ready, _ = L.margin_features(rows, symbols)
-    scored, best = L.svm_grid_search(ready)
-    return L.evaluate(scored).join(best, "Stock").select(*REPORT, "best_C", "best_cv_auc")
+    ready, _ = L.margin_features(gated_panel(t, 80))
+    scored, best = margins.grid_search(ready)
+    return L.evaluate(scored).join(best, "Stock").select(*REPORT, "best_C", "best_gamma", "best_cv_auc")
 
 
 @query("m8_cross_validate")
 def cross_validate(t: Tables) -> DataFrame:
-    rows, symbols = gated(t)
-    ready, _ = L.forest_features(rows, symbols)
-    folded = written(M.stratified_folds(ready.filter("split <> 'test'"), F.col("Target_Date")))
-    cv = L.cross_validate(folded, symbols, lambda: L.random_forest(trees=50), parallelism=8)
-    return cv.select("Stock", r("cv_auc_mean", 4), r("cv_auc_std", 4))
+    ready, _ = L.forest_features(gated_panel(t))
+    folded = M.stratified_folds(ready.filter("split <> 'test'"), F.col("Target_Date"))
+    return L.cross_validate_forest(folded).select("Stock", r("cv_auc_mean", 4), r("cv_auc_std", 4))
 
 
 @query("m9_gradient_boosting")
 def gradient_boosting(t: Tables) -> DataFrame:
-    rows, symbols = gated(t, 80)
-    ready = L.boosting_features(rows.filter(F.col("Stock").isin(symbols)), L.up_weighted)
+    ready = L.plain_features(gated_panel(t, 80), L.up_weighted)
+    fitted = L.fit_boosting(ready)
+    rounds = fitted.groupBy("Stock").agg(F.count("*").cast("int").alias("best_round"))
+    return L.evaluate(L.score_forest(ready, fitted, "xgboost", boosted=True)).join(rounds, "Stock").select(*REPORT, "best_round")
 
-    def fit(symbol: str, part: DataFrame):
-        return L.gradient_boosting().fit(part.filter("split <> 'test'").withColumn("is_val", F.col("split") == "val"))
 
-    models = L.fit_each(ready, symbols, fit)
-    rounds = t.spark.createDataFrame([(s, m.getNumTrees) for s, m in models.items()], "Stock string, best_round int")
-    return L.evaluate(L.score_batch(models, ready, "xgboost")).join(rounds, "Stock").select(*REPORT, "best_round")
+def sequences(t: Tables) -> DataFrame:
+    """The features of the row before each day (a sequence of length one), class-weighted."""
+    ready, _ = L.forest_features(gated_panel(t))
+    before = P.sliding_sequences(ready.drop("split"), "x", window=1)
+    return written(L.weighted(before, F.expr(L.IN_TRAIN)).select(
+        "Stock", "Target_Date", "split", L.LABEL, "weight", F.col(L.LABEL).cast("double").alias("label"), F.flatten("sequence").alias("x")
+    ), "sequences")
 
 
 @query("m10_neural_classifier")
 def neural_classifier(t: Tables) -> DataFrame:
-    """A feed-forward net on the row before each day (a sequence of length one)."""
-    rows, symbols = gated(t)
-    ready, reduced = L.forest_features(rows, symbols)
-    plain = ready.withColumn("features", L.vector_to_array("features"))
-    before = P.sliding_sequences(plain.drop("split"), window=1)
-    weights = L.weighted(before, F.expr(L.IN_TRAIN))
-    seq = written(weights.select(
-        "Stock", "Target_Date", "split", L.LABEL, "weight", F.col(L.LABEL).cast("double").alias("label"),
-        L.array_to_vector(F.flatten("sequence")).alias("features"),
-    ))
-
-    components = sizes(reduced)
+    seq = sequences(t)
+    nets = written(recurrent.fit(seq), "nets")
+    best = M.best_epoch(recurrent.history(nets)).select("Stock", "best_epoch", "total_epochs")
+    return L.evaluate(recurrent.score(seq, nets, L.KEEP)).join(best, "Stock").select(*REPORT, "best_epoch", "total_epochs")
 
-    def fit(symbol: str, part: DataFrame):
-        inputs = components[symbol] + len(P.PRICE_COLUMNS)
-        return L.neural_classifier(inputs).fit(L.oversampled(part.filter(L.IN_TRAIN)))
 
-    kept = sorted({x.Stock for x in seq.select("Stock").distinct().collect()})
-    models = L.fit_each(seq, kept, fit)
-    return L.evaluate(L.score_batch(models, seq, "lstm")).select(*REPORT)
+@query("a14_training_history")
+def training_history(t: Tables) -> DataFrame:
+    """The best epoch of every net's own history."""
+    return M.best_epoch(recurrent.history(written(recurrent.fit(sequences(t)), "nets")))
 
 
 def logistic_models(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    ready = L.boosting_features(rows)
+    ready = L.plain_features(rows)
     return ready, written(L.fit_logistics(ready), "logistics")
 
 
@@ -136,8 +121,7 @@ def score_batch(t: Tables) -> DataFrame:
 @query("e7_linear_probe")
 def linear_probe(t: Tables) -> DataFrame:
     rows = written(E.rows_enough(E.with_all(panel(t).select("Stock", "Target_Date", L.LABEL, "vec", row_key().alias("key")))))
-    groups = [x.Stock for x in rows.select("Stock").distinct().orderBy("Stock").collect()]
-    return L.linear_probe(rows, groups, E.shuffled(F.col("key"), 42))
+    return L.linear_probe(rows, E.shuffled(F.col("key"), 42))
 
 
 def probed(t: Tables) -> DataFrame:
@@ -172,7 +156,7 @@ def daily_scoring(t: Tables) -> DataFrame:
     fitted = L.S.vector_stats(P.chrono_split(sound(rows)).filter(L.IN_TRAIN), ["Stock"], "vec")
 
     def score(pooled: DataFrame) -> DataFrame:
-        scaled = sound(pooled).join(fitted, "Stock").withColumn("features", L.array_to_vector(L.S.apply_scale(F.col("vec"), F.col("mean"), F.col("std"))))
+        scaled = sound(pooled).join(fitted, "Stock").withColumn("x", L.S.apply_scale(F.col("vec"), F.col("mean"), F.col("std")))
         return L.score_weights(scaled, fits, "logreg", keep=())
 
     feed = t.news().select(

@@ -98,13 +98,13 @@ def write_news_csv(t: Tables) -> DataFrame:
     return back.groupBy("Stock").agg(F.count("*").alias("n"), F.countDistinct("Title").alias("titles"), F.sum(F.length("Title")).alias("chars"))
 
 
-@query("s7_report_io", with_views("report", "SELECT model, Stock, n_test, accuracy, f1_score, auc_roc, precision_up, recall_up FROM report WHERE model <> 'svm'"))
+@query("s7_report_io", with_views("report", "SELECT model, Stock, n_test, accuracy, f1_score, auc_roc, precision_up, recall_up FROM report"))
 def report_io(t: Tables) -> DataFrame:
     path = scratch(t.spark, "reports")
     report = M.train_report(scored_once(t)).withColumn("y_prob", F.array(F.lit(0.0)))
-    for m in ("lstm", "rf"):
+    for m in MODELS:
         IO.write_report(report.filter(F.col("model") == m), f"{path}/{m}")
-    paths = {"lstm": f"{path}/lstm", "rf": f"{path}/rf", "svm": f"{path}/missing"}
+    paths = {m: f"{path}/{m}" for m in (*MODELS, "gru")}  # the last one was never written
     back = IO.read_reports(t.spark, paths, "Stock string, n_test bigint, accuracy double, f1_score double, auc_roc double, precision_up double, recall_up double")
     return back.select("model", "Stock", "n_test", "accuracy", "f1_score", "auc_roc", "precision_up", "recall_up")
 

@@ -40,11 +40,13 @@ def anisotropy(t: Tables) -> DataFrame:
 
 
 DRAWN = """SELECT *, row_number() OVER (PARTITION BY grp, Target_Label ORDER BY md5('1:' || key), key) AS p1,
-  row_number() OVER (PARTITION BY grp, Target_Label ORDER BY md5('2:' || key), key) AS p2 FROM both_groups"""
+  row_number() OVER (PARTITION BY grp, Target_Label ORDER BY md5('2:' || key), key) AS p2,
+  count(*) FILTER (Target_Label = 0) OVER (PARTITION BY grp) AS n0, count(*) FILTER (Target_Label = 1) OVER (PARTITION BY grp) AS n1 FROM both_groups"""
 L2 = """SELECT a.grp AS Stock, avg(list_distance(a.vec, b.vec)) FILTER (a.Target_Label = 0 AND b.Target_Label = 0) AS intra_l2_down,
   avg(list_distance(a.vec, b.vec)) FILTER (a.Target_Label = 1 AND b.Target_Label = 1) AS intra_l2_up,
-  avg(list_distance(a.vec, b.vec)) FILTER (a.Target_Label = 0 AND b.Target_Label = 1) AS inter_l2
-  FROM drawn a JOIN drawn b ON a.grp = b.grp AND a.p1 = b.p2 GROUP BY a.grp"""
+  avg(list_distance(a.vec, b.vec)) FILTER (a.Target_Label <> b.Target_Label) AS inter_l2
+  FROM drawn a JOIN drawn b ON a.grp = b.grp AND ((a.Target_Label = b.Target_Label AND a.p1 = b.p2)
+    OR (a.Target_Label = 0 AND b.Target_Label = 1 AND CASE WHEN a.n0 >= a.n1 THEN b.p2 = (a.p1 - 1) % a.n1 + 1 ELSE a.p1 = (b.p2 - 1) % a.n0 + 1 END)) GROUP BY a.grp"""
 
 
 @query("e3_l2_intra_inter", with_views("both_groups", "SELECT Stock, round(intra_l2_down, 6) AS intra_l2_down, round(intra_l2_up, 6) AS intra_l2_up, round(inter_l2, 6) AS inter_l2 FROM l2", drawn=DRAWN, l2=L2))

@@ -10,7 +10,7 @@ from ticktide.operators import metrics as M
 from ticktide.operators import panel as P
 from ticktide.operators import serving as G
 from ticktide.plans.oracle import with_views
-from ticktide.plans.queries_panel import feed_items, scored_once
+from ticktide.plans.queries_panel import MODELS, feed_items, scored_once
 from ticktide.plans.registry import query
 from ticktide.session import scratch
 from ticktide.sources import files as IO
@@ -18,19 +18,18 @@ from ticktide.sources.tables import Tables
 
 
 def latest_signal(t: Tables) -> DataFrame:
-    """Per symbol and model the signal of the newest day; one symbol has none, one lacks a model."""
+    """Per symbol and model the signal of the newest day."""
     newest = P.latest_n_per_symbol(
         scored_once(t).withColumn("_key", F.concat_ws("|", "Stock", "model")), 1, [F.desc("Target_Date")], stock="_key"
     )
     out = threshold_signal(F.col("y_prob"))
-    known = (F.col("Stock") != "MIDDLE EAST") & ~((F.col("Stock") == "EUROPE") & (F.col("model") == "lstm"))
-    return newest.filter(known).select("Stock", "model", "Target_Date", *[c.alias(n) for n, c in out.items()])
+    return newest.select("Stock", "model", "Target_Date", *[c.alias(n) for n, c in out.items()])
 
 
 def ranked_report(t: Tables) -> DataFrame:
-    """A report of two models with the order they are listed in."""
-    report = M.train_report(scored_once(t)).filter(F.col("model") != "svm")
-    return report.withColumn("model_rank", F.when(F.col("model") == "lstm", 0).otherwise(1))
+    """The report of all models with the order they are listed in."""
+    listed = F.array(*map(F.lit, MODELS))
+    return M.train_report(scored_once(t)).withColumn("model_rank", F.array_position(listed, F.col("model")))
 
 
 def best_result(t: Tables) -> DataFrame:
@@ -39,7 +38,7 @@ def best_result(t: Tables) -> DataFrame:
 
 
 BEST = """SELECT s.Stock, coalesce(b.model, 'lstm') AS model FROM symbols s LEFT JOIN (
-  SELECT Stock, model FROM (SELECT *, row_number() OVER (PARTITION BY Stock ORDER BY auc_roc DESC, CASE model WHEN 'lstm' THEN 0 ELSE 1 END) AS k FROM report WHERE model <> 'svm') WHERE k = 1) b ON b.Stock = s.Stock"""
+  SELECT Stock, model FROM (SELECT *, row_number() OVER (PARTITION BY Stock ORDER BY auc_roc DESC, CASE model WHEN 'lstm' THEN 0 WHEN 'rf' THEN 1 ELSE 2 END) AS k FROM report) WHERE k = 1) b ON b.Stock = s.Stock"""
 CHOSEN = """SELECT b.Stock, b.model, x.signal, x.label, x.probability_up, x.confidence, CAST(x.Target_Date AS VARCHAR) || 'T08:30:00' AS updated_at
   FROM best b LEFT JOIN latest_signal x ON x.Stock = b.Stock AND x.model = b.model"""
 
@@ -66,8 +65,10 @@ def dashboard(t: Tables) -> DataFrame:
 
 
 def stored_items(t: Tables) -> DataFrame:
-    """Stored news of some symbols; some of its items have no timestamp."""
-    items = feed_items(t, 10).filter(F.col("Stock") < "EUROPE")
+    """News of the symbols with at least the mean number of items is stored; some of its items have no timestamp."""
+    sizes = t.feed().groupBy("Stock").count()
+    stored = sizes.filter(F.col("count") >= sizes.agg(F.avg("count")).scalar())
+    items = feed_items(t, 10).join(stored.select("Stock"), "Stock", "left_semi")
     return items.withColumn("timestamp", F.when(F.col("source") != "view", F.col("timestamp")))
 
 

@@ -1,7 +1,7 @@
 """News, prices, vectors and feeds derived from the given tables (see FIXTURES.md).
 
 ``Title`` is the whole document text, every document and every line item takes part.
-The weekday filter on prices is the trading calendar: markets are closed at weekends.
+Markets are closed at weekends: lines of a Saturday or Sunday open Monday's bar.
 """
 
 from __future__ import annotations
@@ -65,16 +65,17 @@ class Tables:
         suppliers = self.read("supplier").count()  # from the file footers
         if suppliers <= BROADCAST_ROWS:
             traded_by = F.broadcast(traded_by)
-        # l_orderkey, l_linenumber, l_extendedprice, l_quantity packed into one number, so
-        # that the first and last price of a day aggregate in fixed-width buffers.
+        # day, l_orderkey, l_linenumber, l_extendedprice, l_quantity packed into one number, so
+        # that the first and last price of a bar aggregate in fixed-width buffers.
         sequence = F.expr(
-            "cast(l_orderkey * 8 + l_linenumber as decimal(20,0)) * 1000000000000BD"
+            "cast(cast(l_orderkey * 8 + l_linenumber as decimal(19,0)) + (2 - closed) * 10000000000000000000BD as decimal(20,0)) * 1000000000000BD"
             " + cast(cast(round(l_extendedprice * 100) as bigint) * 100 + cast(l_quantity as bigint) as decimal(14,0))"
         )
         return (
             self.read("lineitem")
-            .withColumn("Date", F.to_date("l_shipdate"))
-            .filter(F.dayofweek("Date").between(2, 6))
+            .withColumn("day", F.to_date("l_shipdate"))
+            .withColumn("closed", F.when(F.dayofweek("day") == 7, 2).when(F.dayofweek("day") == 1, 1).otherwise(0))
+            .withColumn("Date", F.date_add("day", F.col("closed")))
             .join(traded_by, "l_suppkey")
             .select(
                 "Stock",
