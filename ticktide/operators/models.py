@@ -333,13 +333,18 @@ def probe_of_folds(folded: DataFrame, reduced: Reduced, k: int = 50) -> DataFram
     )
 
 
+def groups_fit(rows: DataFrame, minimum: int = E.MIN_ROWS) -> DataFrame:
+    """(Stock, fit): whether a group has ``minimum`` rows and both classes."""
+    two = (F.count(F.lit(1)) >= minimum) & (F.min(LABEL) != F.max(LABEL))
+    return rows.groupBy("Stock").agg(two.alias("fit"))
+
+
 def separability(rows: DataFrame, order: Column, minimum: int = E.MIN_ROWS) -> DataFrame:
     """Probe, nearest neighbours and silhouette of every group on its own scaled vectors.
 
     Groups of one class or with fewer than ``minimum`` rows keep a row of NULLs. ``rows`` as in :func:`probe_folds`.
     """
-    two = (F.count(F.lit(1)) >= minimum) & (F.min(LABEL) != F.max(LABEL))
-    groups = written(rows.groupBy("Stock").agg(two.alias("fit")), "groups")
+    groups = written(groups_fit(rows, minimum), "groups")
     rows = written(P.join_spread(rows, groups.filter("fit").select("Stock"), ["Stock"], F.col("key")), "probed")
     folded, reduced = probe_folds(rows, order)
     probe = probe_of_folds(folded, reduced)

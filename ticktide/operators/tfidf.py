@@ -149,8 +149,19 @@ def daily_tfidf(articles: DataFrame, weights: DataFrame) -> DataFrame:
 
 def tfidf_daily_dataset(articles: DataFrame, labelled: DataFrame, text: str = "Processed", max_terms: int = MAX_TERMS) -> DataFrame:
     """Train-fitted TF-IDF, pooled per day and joined to the labelled prices."""
-    train = P.global_train_split(articles).filter("is_train")
-    weights = tfidf_transform(articles, tfidf_fit(train, text, max_terms), text, "news_id", "Stock", "Target_Date")
+    return tfidf_panel(articles, labelled, tfidf_fit(P.global_train_split(articles).filter("is_train"), text, max_terms), text)
+
+
+def tfidf_panel(articles: DataFrame, labelled: DataFrame, vocabulary: DataFrame, text: str = "Processed") -> DataFrame:
+    """The daily dataset for a given vocabulary."""
+    weights = tfidf_transform(articles, vocabulary, text, "news_id", "Stock", "Target_Date")
     return P.join_news_prices(daily_tfidf(articles, weights), labelled).select(
         "Stock", "Target_Date", *P.PRICE_COLUMNS, "Target_Label", "n_news", "tfidf"
     )
+
+
+def dense_terms(dataset: DataFrame, vocabulary: DataFrame, tfidf: str = "tfidf", vec: str = "vec") -> DataFrame:
+    """``dataset`` with its term map as a vector in the order of terms; the vocabulary is bounded by ``max_terms``."""
+    terms = F.lit(sorted(x.term for x in vocabulary.select("term").collect())).cast("array<string>")
+    weight = lambda t: F.coalesce(F.element_at(F.col(tfidf), t), F.lit(0.0))
+    return dataset.withColumn(vec, F.transform(terms, weight)).drop(tfidf)

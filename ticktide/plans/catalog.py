@@ -1,6 +1,7 @@
 """All queries, loaded."""
 
 from ticktide.plans import (  # noqa: F401
+    queries_facts,
     queries_metrics,
     queries_models,
     queries_panel,

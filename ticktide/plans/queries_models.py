@@ -10,8 +10,10 @@ from ticktide.operators import metrics as M
 from ticktide.operators import models as L
 from ticktide.operators import margins, recurrent, trees
 from ticktide.operators import panel as P
+from ticktide.operators import tfidf as T
 from ticktide.plans.queries_panel import panel, panel_once
 from ticktide.plans.queries_quality import POINTS, quality, row_key
+from ticktide.plans.queries_text import articles_once, train_part
 from ticktide.plans.registry import pack, query, r
 from ticktide.plans.scoring import daily_scoring_job
 from ticktide.session import written
@@ -107,6 +109,33 @@ def training_history(t: Tables) -> DataFrame:
     return M.best_epoch(recurrent.history(written(recurrent.fit(sequences(t)), "nets")))
 
 
+def kernel_report(scored: DataFrame) -> DataFrame:
+    return L.evaluate(scored).select("model", "Stock", "accuracy", "f1_score", "auc_roc")
+
+
+def two_kinds(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Reports of forest and kernel margins on daily TF-IDF vectors and on daily mean vectors, prices beside both."""
+    words = articles_once(t)
+    vocabulary = written(T.tfidf_fit(train_part(words)), "vocabulary")
+    sparse = T.tfidf_panel(words, P.label_open_direction(t.prices()), vocabulary)
+    tfidf = P.enough_rows(written(T.dense_terms(sparse, vocabulary), "tfidf_panel"), 80)
+    dense = gated_panel(t, 80)
+    plain = L.plain_features(tfidf, prices=True)
+    deep = L.fit_forest(plain, 300, L.DEEP_FOREST, "split <> 'test'", sample=1.0)
+    ready, _ = L.forest_features(dense)
+    # more terms than train days: components by rows
+    wide, _ = L.margin_features(tfidf, by_rows=True)
+    narrow, _ = L.margin_features(dense)
+    of_terms = kernel_report(L.score_forest(plain, deep)).unionByName(kernel_report(margins.grid_search(wide)[0]))
+    of_vectors = kernel_report(L.score_forest(ready, L.fit_forest(ready))).unionByName(kernel_report(margins.grid_search(narrow)[0]))
+    return written(of_terms, "tfidf_report"), written(of_vectors, "vector_report")
+
+
+@query("j6_compare_models")
+def compare_models(t: Tables) -> DataFrame:
+    return M.compare_reports(*two_kinds(t)).withColumn("diff", r("diff"))
+
+
 def logistic_models(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ready = L.plain_features(rows)
     return ready, written(L.fit_logistics(ready), "logistics")
