@@ -147,11 +147,52 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(1, 61)} | {101: 100}
 
 
-def test_prefixes_are_shortened_to_the_recall():
+def test_prefixes_are_shortened_to_the_recall_where_that_is_cheapest():
+    rng = random.Random(1)
     for recall in (0.5, 0.9, 0.999, 0.9999):
-        k = jaccard.prefix_length(0.8, recall)
-        assert k == 1 or 1 - (1 - 0.8**k) ** jaccard.TREES >= recall
-        assert k == jaccard.DEPTH or 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES < recall
+        pairs = {(t, n): rng.random() * 10 ** (7 - n) for t in range(jaccard.TREES) for n in range(1, jaccard.DEPTH + 1)}
+        lengths = jaccard.shortened(pairs, 0.8, recall)
+        assert jaccard.recall_of(lengths, 0.8) >= recall
+        for t in range(jaccard.TREES):  # no tree is shorter than needed by a whole step of all trees
+            longer = [min(n + 1, jaccard.DEPTH) for n in lengths]
+            assert lengths == [jaccard.DEPTH] * jaccard.TREES or jaccard.recall_of(longer, 0.8) < recall
+    dear = {(t, n): 10.0**9 if t < 10 and n < jaccard.DEPTH else 1.0 for t in range(jaccard.TREES) for n in range(1, jaccard.DEPTH + 1)}
+    lengths = jaccard.shortened(dear)
+    assert set(lengths[:10]) == {jaccard.DEPTH} and jaccard.recall_of(lengths) >= jaccard.RECALL
+    assert jaccard.shortened({}, 0.05) == [1] * jaccard.TREES  # as short as can be
+
+
+def test_sorted_labels_are_tries():
+    texts = [prose(30, k) for k in range(40)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    values, at = jaccard.sets(*jaccard.shingles(data, offsets))
+    labels = jaccard._labels(values, at)
+    again = jaccard._labels(np.concatenate([values[at[k] : at[k + 1]] for k in (3, 3)]), np.array([0, at[4] - at[3], 2 * (at[4] - at[3])]))
+    assert (again[0] == labels[3]).all() and (again[1] == labels[3]).all()
+    one = np.sort(labels[:, 0])
+    for n, shift in zip(range(1, jaccard.DEPTH + 1), [jaccard.STEP * (jaccard.DEPTH - n) for n in range(1, jaccard.DEPTH + 1)]):
+        runs = one >> np.uint64(shift)
+        assert (np.diff(runs.astype(object)) >= 0).all()  # what shares a prefix stands together
+
+
+def test_near_copies_of_every_similarity_are_found(spark):
+    rng = random.Random(17)
+    texts, want = {}, set()
+    for k in range(2500):
+        words = [f"{rng.randrange(10**9):x}" for _ in range(204)]  # 200 runs of five words
+        other = list(words)
+        for at in rng.sample(range(0, 200, 5), rng.randint(1, 4)):
+            other[at] = "changed"
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(other)
+        a, b = plain.word_runs(texts[2 * k]), plain.word_runs(texts[2 * k + 1])
+        if len(a & b) >= 0.8 * len(a | b):
+            want.add(k)
+    assert len(want) > 2000
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(df).collect()}
+    for k in range(2500):
+        assert got[2 * k + 1] == ((2 * k, 1) if k in want else (2 * k + 1, 0))
 
 
 def test_quality_rules(docs):
