@@ -3,8 +3,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticktide.operators import embedding_quality as E
+from ticktide.functions import vectors as V
 from ticktide.operators import margins
 from ticktide.operators import models as L
+from ticktide.operators.neighbours import nearest
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +60,7 @@ def test_silhouette_of_one_class_is_zero(frame):
 def test_knn_equals_brute_force(frame, rows, blocks):
     x, y = rows
     folded = frame.withColumn("fold", (F.col("key").cast("int") % 5))
-    votes = E.knn_vote(folded.withColumn("grp", F.lit("g")), label="Target_Label", blocks=blocks)
+    votes = E.knn_vote(folded.withColumn("grp", F.lit("g")), label="Target_Label", unit_rows=-(-50 // blocks))
     got = {r.key: r.predicted for r in votes.collect()}
     dist = np.round(1 - unit(x) @ unit(x).T, 9)
     for i in range(50):
@@ -66,6 +68,31 @@ def test_knn_equals_brute_force(frame, rows, blocks):
         assert got[f"{i:03d}"] == int(np.mean([n[2] for n in near]) > 0.5)
 
 
+def test_neighbours_pass_over_cells_and_stay_exact(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(8, 4)) * 3
+    x = np.concatenate([centres[i % 8] + 0.1 * rng.normal(size=4) for i in range(400)]).reshape(400, 4)
+    x[:30] = x[0]  # many rows alike
+    x[40] = 0.0
+    keys = [f"{i:03d}" for i in range(400)]
+    df = spark.createDataFrame([(g, k, i % 2, i % 5, [float(v) for v in row]) for g in ("a", "b") for i, (k, row) in enumerate(zip(keys, x)) if g == "a" or i < 20],
+                               "grp string, key string, y int, fold int, vec array<double>").repartition(3)
+    rows = df.select("grp", "key", "y", "fold", V.unit(F.col("vec")).alias("u"))
+    got = {}
+    for r in nearest(rows, 5, unit_rows=40, pivots=12).collect():
+        got.setdefault((r["grp"], r["key"]), []).append((r["place"], r["cand"], r["dist"]))
+    u = unit(x)
+    u[40] = 0.0
+    dist = np.round(1 - u @ u.T, 9)
+    for g, n in (("a", 400), ("b", 20)):
+        for i in range(n):
+            near = sorted((dist[i, j], keys[j]) for j in range(n) if j % 5 != i % 5)[:5]
+            own = [(c, d) for _, c, d in sorted(got[g, keys[i]])]
+            assert [d for _, d in own] == pytest.approx([d for d, _ in near], abs=2e-9)
+            if all(b - a > 1e-8 for (a, _), (b, _) in zip(near, near[1:])):
+                assert [c for c, _ in own] == [c for _, c in near]
+
+
 def test_centroids(frame, rows):
     x, _ = rows
     c = np.stack([x[:30].mean(axis=0), x[30:].mean(axis=0)])

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticktide.functions import vectors as V
 from ticktide.functions.display import half_even
+from ticktide.operators.neighbours import nearest
 from ticktide.operators.ordered import hash_ranges, running_totals
 from ticktide.operators.panel import join_spread
 from ticktide.session import written
@@ -215,67 +214,15 @@ def silhouette_by_group(rows: DataFrame, label: str = "Target_Label", stock: str
 
 # ---- nearest neighbours -------------------------------------------------------------
 
-def _best_in_block(k: int):
-    """Top ``k`` candidates of a block for each of its queries, by cosine distance, then key."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        queries, base = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
-        types = {"grp": object, "key": object, "y": int, "fold": int, "cand": object, "cand_y": int, "dist": float}
-        columns = list(types)
-        if queries.empty or base.empty:
-            return pd.DataFrame(columns=columns).astype(types)
-        q, b = (np.stack(part["u"].to_numpy()) for part in (queries, base))
-        base_key, base_y, base_fold = (base[c].to_numpy() for c in ("key", "y", "fold"))
-        by_key = np.empty(len(base), dtype=int)
-        by_key[np.argsort(base_key, kind="stable")] = np.arange(len(base))
-        last = min(k, len(base)) - 1
-        out = []
-        for at in range(0, len(q), 1024):
-            rows = slice(at, at + 1024)
-            dist = np.round(1.0 - q[rows] @ b.T, 9)
-            dist[queries["fold"].to_numpy()[rows][:, None] == base_fold[None, :]] = np.inf
-            edge = np.partition(dist, last, axis=1)[:, last]
-            i, j = np.nonzero((dist <= edge[:, None]) & np.isfinite(dist))
-            order = np.lexsort((by_key[j], dist[i, j], i))
-            i, j = i[order], j[order]
-            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
-            i, j = i[kept], j[kept]
-            mine = queries.iloc[at + i][["grp", "key", "y", "fold"]].reset_index(drop=True)
-            out.append(mine.assign(cand=base_key[j], cand_y=base_y[j], dist=dist[i, j]))
-        return pd.concat(out)[columns].astype(types)
-
-    return run
-
-
 def knn_vote(
-    folded: DataFrame, k: int = 5, key: str = "key", label: str = "y", group: str = "grp", fold: str = "fold", vec: str = "vec",
-    blocks: int | None = None, rows_per_block: int = 4000,
+    folded: DataFrame, k: int = 5, key: str = "key", label: str = "y", group: str = "grp", fold: str = "fold", vec: str = "vec", **sizes: int
 ) -> DataFrame:
-    """Majority vote of the ``k`` nearest rows (cosine) outside a row's own fold.
-
-    Exact on all rows. The rows of a group are cut into ``blocks`` by key hash; each pair of
-    blocks is one task that keeps ``k`` candidates per query, and the candidates of a query are
-    then merged. By default the largest group is counted and cut into blocks of ``rows_per_block``.
-    """
-    if blocks is None:
-        largest = folded.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-        blocks = max(1, -(-largest // rows_per_block))
+    """Majority vote of the ``k`` nearest rows (cosine) outside a row's own fold; exact, see :mod:`neighbours`."""
     rows = folded.select(
         F.col(group).alias("grp"), F.col(key).cast("string").alias("key"), F.col(label).cast("int").alias("y"),
         F.col(fold).cast("int").alias("fold"), V.unit(F.col(vec)).alias("u"),
-        F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).alias("home"),
-    )
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    as_query = rows.withColumn("other", others).withColumnsRenamed({"home": "qb", "other": "bb"}).withColumn("is_query", F.lit(True))
-    as_base = rows.withColumn("other", others).withColumnsRenamed({"home": "bb", "other": "qb"}).withColumn("is_query", F.lit(False))
-    found = (
-        as_query.unionByName(as_base)
-        .groupBy("grp", "qb", "bb")
-        .applyInPandas(_best_in_block(k), "grp string, key string, y int, fold int, cand string, cand_y int, dist double")
     )
-    w = Window.partitionBy("grp", "key").orderBy("dist", "cand")
-    near = found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
-    votes = near.groupBy("grp", "key", "y", "fold").agg(F.avg(F.col("cand_y").cast("double")).alias("share_up"))
+    votes = nearest(rows, k, **sizes).groupBy("grp", "key", "y", "fold").agg(F.avg(F.col("cand_y").cast("double")).alias("share_up"))
     return votes.withColumn("predicted", (F.col("share_up") > 0.5).cast("int"))
 
 
