@@ -187,9 +187,11 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         F.collect_list(F.struct((F.col("lo") - F.col("base")).alias("from"), (F.col("hi") - F.col("base")).alias("to"))).alias("parts")
     )
     partly = written(partly.join(checked(twice), RUN, "left_anti"), "partly")
-    whole_spans = every.join(checked(twice), RUN, "left_semi").select(*TEXT, "lo", (F.col("hi") + width).alias("end"))
+    # runs that are not repeated stay in the stream up to the pass that joins neighbours, which leaves them out
+    marked = every.join(checked(twice).withColumn("again", F.lit(True)), RUN, "left")
+    whole_spans = marked.select(*TEXT, "lo", (F.col("hi") + width).alias("end"), "again")
     part_spans = every.join(checked(partly), RUN).select(*TEXT, "lo", F.explode("parts").alias("p")).select(
-        *TEXT, (F.col("lo") + F.col("p.from")).alias("lo"), (F.col("lo") + F.col("p.to") + width).alias("end")
+        *TEXT, (F.col("lo") + F.col("p.from")).alias("lo"), (F.col("lo") + F.col("p.to") + width).alias("end"), F.lit(True).alias("again")
     )
     spans = whole_spans.unionByName(part_spans).mapInArrow(_joined, _SPAN)
     spans = spans.groupBy(*TEXT).agg(F.collect_list(F.struct("lo", "end")).alias("spans"))
@@ -200,8 +202,9 @@ _SPAN = "k1 long, k2 long, lo int, end int"
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbouring rows of one text that touch, as one span; runs of a text are stored in order."""
+    """Neighbouring repeated rows of one text that touch, as one span; runs of a text are stored in order."""
     for batch in batches:
+        batch = batch.filter(batch.column(4).is_valid())
         k1, k2, lo, end = (batch.column(k).to_numpy() for k in range(4))
         if len(lo):
             cut = np.flatnonzero(np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (lo[1:] > end[:-1]) | (lo[1:] < lo[:-1]))))
