@@ -92,3 +92,34 @@ def test_sink_that_cannot_be_read_is_not_taken_for_an_empty_one(spark, tmp_path)
     with pytest.raises(AnalysisException):
         append_unseen(batch, sink, ["ts"])
     assert spark.read.parquet(sink).count() == 1
+
+
+def test_state_remembers_links_across_batches_symbols_and_restarts(spark, tmp_path):
+    inbox, sink, state = (str(tmp_path / n) for n in ("inbox", "sink", "state"))
+    stored = spark.createDataFrame([("old",)], "Link string")
+    before = spark.conf.get(N.STATE_STORE, None)
+
+    def poll():
+        N.news_stream_with_state(spark, inbox, SCHEMA, sink, state, stored=stored, every=None).awaitTermination()
+        return sorted((r.Link, r.Stock) for r in spark.read.parquet(sink).collect())
+
+    items(spark, [("B", 1, 0, "x"), ("A", 0, 2, "x"), ("A", 0, 1, "x"), ("B", 1, 0, "y"), ("A", 0, 0, "old")]).write.mode("append").parquet(inbox)
+    assert poll() == [("x", "A"), ("y", "B")]
+    items(spark, [("A", 0, 3, "y"), ("A", 0, 3, "z"), ("A", 0, 0, "x")]).write.mode("append").parquet(inbox)
+    assert poll() == [("x", "A"), ("y", "B"), ("z", "A")]
+    assert poll() == [("x", "A"), ("y", "B"), ("z", "A")]
+    assert spark.conf.get(N.STATE_STORE, None) == before
+
+
+def test_a_broken_snapshot_leaves_the_one_before(spark, tmp_path):
+    path = str(tmp_path / "snapshot")
+    row = lambda day: spark.createDataFrame([("A", day)], "Stock string, date string")
+    IO.write_snapshot(row("1999-01-01"), path)
+    held = IO.read_snapshot(spark, path)
+    bad = row("1999-01-02").withColumn("date", F.raise_error(F.lit("broken off")).cast("string"))
+    with pytest.raises(Exception, match="broken off"):
+        IO.write_snapshot(bad, path)
+    assert [r.date for r in IO.read_snapshot(spark, path).collect()] == ["1999-01-01"]
+    IO.write_snapshot(row("1999-01-03"), path)
+    assert [r.date for r in IO.read_snapshot(spark, path).collect()] == ["1999-01-03"]
+    assert [r.date for r in held.collect()] == ["1999-01-01"]

@@ -25,14 +25,14 @@ def deliveries(t: Tables) -> list[DataFrame]:
     return [feed.filter((F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz"))) for a, b in zip(PARTS, PARTS[1:])]
 
 
-def polled(t: Tables, again: bool = False, **options) -> DataFrame:
+def polled(t: Tables, again: bool = False, stream=N.news_stream) -> DataFrame:
     """Deliver the feed in three parts; after each, a restarted stream takes what is there."""
     inbox, sink, state = (scratch(t.spark, n) for n in ("inbox", "stored", "state"))
     for part in deliveries(t):
         part.write.mode("append").parquet(inbox)
         if again:
             part.write.mode("append").parquet(inbox)
-        N.news_stream(t.spark, inbox, SCHEMA, sink, state, ORDER, every=None, **options).awaitTermination()
+        stream(t.spark, inbox, SCHEMA, sink, state, ORDER, every=None).awaitTermination()
     return t.spark.read.parquet(sink)
 
 
@@ -63,6 +63,12 @@ def stream_dedup(t: Tables) -> DataFrame:
     return polled(t, again=True).select("item_id", "Stock", "Link")
 
 
+@query("x1_news_stream_with_state", with_views("feed", "SELECT item_id, Stock, Link FROM (" + FIRST + ")"))
+def news_stream_with_state(t: Tables) -> DataFrame:
+    """The links seen so far in keyed state; every delivery comes twice."""
+    return polled(t, again=True, stream=N.news_stream_with_state).select("item_id", "Stock", "Link")
+
+
 @query("x2_dedup_within_a_day", with_views("feed", "SELECT Link, CAST(1 AS BIGINT) AS n FROM feed GROUP BY Link"))
 def dedup_within_a_day(t: Tables) -> DataFrame:
     """Links carry their hour, so copies lie within the watermark and a single pass drops them all."""

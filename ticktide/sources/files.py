@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -97,12 +99,29 @@ def read_reports(
     return found
 
 
-def write_snapshot(snapshot: DataFrame, path: str) -> None:
-    snapshot.write.mode("overwrite").json(path)
+def write_snapshot(snapshot: DataFrame, path: str) -> str:
+    """Write a new version below ``path`` and then the row that points to it; returns the version.
+
+    Readers see the version before until the pointer is there, and for ever if the write breaks off. Earlier
+    versions stay for readers that hold them, and for their owner to drop.
+    """
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    snapshot.write.json(f"{path}/versions/{version}")
+    one = snapshot.sparkSession.range(1).select(F.lit(version).alias("version"))
+    one.coalesce(1).write.mode("append").parquet(f"{path}/pointers")
+    return version
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The prediction snapshot; no rows when the file is missing or holds nothing readable."""
+    """The newest whole prediction snapshot; no rows when there is none or it holds nothing readable.
+
+    ``path`` may also be a plain JSON file or folder without versions.
+    """
+    try:
+        newest = spark.read.schema("version string").parquet(f"{path}/pointers").agg(F.max("version")).first()[0]
+        path = f"{path}/versions/{newest}"
+    except AnalysisException:
+        pass  # no versions
     try:
         df = spark.read.schema(SNAPSHOT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
     except AnalysisException:
@@ -110,16 +129,22 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return df.filter(F.col("Stock").isNotNull())
 
 
+# The search address of the feed and its words around the symbol.
+FEED_SEARCH = "https://news.google.com/rss/search?q="
+FEED_LANGUAGE = "&hl=th&gl=TH&ceid=TH:th"
+SEARCHED = ('หุ้น "', '"')
+
+
 def fetch_plan(
     symbols: DataFrame, first: str = "2021-04-01", end: str = "2026-04-01", query: Column | None = None
 ) -> DataFrame:
     """One row per symbol and month of [first, end): window and URL-encoded search text."""
-    asked = F.concat(F.lit('หุ้น "'), F.col("Stock"), F.lit('"')) if query is None else query
+    asked = F.concat(F.lit(SEARCHED[0]), F.col("Stock"), F.lit(SEARCHED[1])) if query is None else query
     months = F.sequence(F.lit(first).cast("date"), F.date_sub(F.lit(end).cast("date"), 1), F.expr("interval 1 month"))
     plan = symbols.select("Stock", F.replace(F.url_encode(asked), F.lit("+"), F.lit("%20")).alias("query"),
                           F.explode(months).alias("start"))
     address = F.concat(
-        F.lit("https://news.google.com/rss/search?q="), F.col("query"), F.lit("+after:"), F.col("start").cast("string"),
-        F.lit("+before:"), F.last_day("start").cast("string"), F.lit("&hl=th&gl=TH&ceid=TH:th"),
+        F.lit(FEED_SEARCH), F.col("query"), F.lit("+after:"), F.col("start").cast("string"),
+        F.lit("+before:"), F.last_day("start").cast("string"), F.lit(FEED_LANGUAGE),
     )
     return plan.select("Stock", "start", F.last_day("start").alias("end"), "query", address.alias("url"))

@@ -1,17 +1,20 @@
 """The incremental news feed: poll, keep what is new, append.
 
-What has been seen is the sink itself, so it is never forgotten and a batch that is run
-again after a failure adds nothing.
+What has been seen is either the sink itself, so it is never forgotten and a batch that is run
+again after a failure adds nothing; or a keyed state of the stream, of which a batch reads its
+own links only, with the file sink's log of batches to keep a batch from being added twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ticktide.sources.files import append_news
 
@@ -89,3 +92,55 @@ def news_stream(
     writer = items.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
     return writer.start()
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def first_ever(items: DataFrame, order: Sequence[str], link: str = "Link") -> DataFrame:
+    """The first row, in ``order``, of the batch in which a link of the stream ``items`` comes for the first time.
+
+    The state is one flag a link and never expires. Rows of a link are taken in chunks, whatever their number.
+    """
+
+    def first(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = None
+        for frame in frames:
+            own = frame if best is None else pd.concat([best, frame])
+            best = own.sort_values(list(order), kind="stable").head(1)
+        if best is not None and not state.exists:
+            state.update((True,))
+            yield best
+
+    return items.groupBy(link).applyInPandasWithState(first, items.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def news_stream_with_state(
+    spark: SparkSession,
+    folder: str,
+    schema: str,
+    sink: str,
+    checkpoint: str,
+    order: Sequence[str] = ("symbol_rank", "ts"),
+    stored: DataFrame | None = None,
+    link: str = "Link",
+    file_format: str = "parquet",
+    every: str | None = "15 minutes",
+) -> StreamingQuery:
+    """As :func:`news_stream`, with the links seen so far in the stream's own keyed state, on disk beside its checkpoint.
+
+    ``stored`` holds links from before the stream's first start. Read ``sink`` with Spark: its log of batches
+    leaves out files of a batch that was broken off.
+    """
+    items = spark.readStream.schema(schema).format(file_format).load(folder)
+    if stored is not None:
+        items = items.join(stored.select(link).distinct(), link, "left_anti")
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        writer = first_ever(items, order, link).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+        writer = writer.outputMode("append")
+        return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
