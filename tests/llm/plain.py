@@ -25,8 +25,8 @@ def license_row(text: str | None) -> tuple:
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
-def removed(texts: dict, width: int) -> dict:
-    """n_bytes, n_removed, n_spans and hash of the rest, by key."""
+def gone_bytes(texts: dict, width: int) -> dict:
+    """Bytes and the mark of removed ones, by key."""
     data = {k: (t or "").encode() for k, t in texts.items()}
     starts = Counter(d[s : s + width] for d in data.values() for s in range(len(d) - width + 1))
     out = {}
@@ -35,11 +35,38 @@ def removed(texts: dict, width: int) -> dict:
         for s in range(len(d) - width + 1):
             if starts[d[s : s + width]] > 1:
                 gone[s : s + width] = b"\x01" * width
-        kept = bytes(b for b, g in zip(d, gone) if not g)
-        out[k] = len(d), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()
+        out[k] = d, bytes(gone)
     return out
 
 
+def rest(d: bytes, gone: bytes) -> bytes:
+    return bytes(b for b, g in zip(d, gone) if not g)
+
+
+def removed(texts: dict, width: int) -> dict:
+    """n_bytes, n_removed, n_spans and hash of the rest, by key."""
+    return {
+        k: (len(d), sum(gone), len(re.findall(b"\x01+", gone)), hashlib.sha256(rest(d, gone)).hexdigest())
+        for k, (d, gone) in gone_bytes(texts, width).items()
+    }
+
+
+def targets(per_source: dict) -> dict:
+    """Words that each source shall have: shared by weights 1, 2, 3, at most three times its own, the excess shared again."""
+    sources = sorted(per_source, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(sources)}
+    target, open_ = {}, set(sources)
+    while True:
+        left = sum(per_source.values()) - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 3 * per_source[s]]
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = 3.0 * per_source[s]
+            open_.remove(s)
+
+
 def word_runs(text: str | None, n: int = 5) -> frozenset:
     words = SPACE.findall(text or "")
     if not words:

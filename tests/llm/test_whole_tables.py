@@ -65,19 +65,7 @@ def test_mixing(spark, docs):
     per_source = defaultdict(int)
     for k, r in docs.items():
         per_source[r["source"]] += size[k]
-    sources = sorted(per_source, key=lambda s: (s is None, s))
-    weight = {s: i % 3 + 1 for i, s in enumerate(sources)}
-    target, open_ = {}, set(sources)
-    while True:
-        left = sum(per_source.values()) - sum(target.values())
-        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
-        over = [s for s in open_ if share[s] > 3 * per_source[s]]
-        if not over:
-            break
-        for s in over:
-            target[s] = 3.0 * per_source[s]
-            open_.remove(s)
-    target |= share
+    target = plain.targets(per_source)
     taken = defaultdict(int)
     for r in rows:
         s = docs[r["doc_id"]]["source"]
@@ -85,7 +73,7 @@ def test_mixing(spark, docs):
         assert r["target"] == pytest.approx(target[s])
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[s] += r["taken"]
-    for s in sources:
+    for s in per_source:
         assert taken[s] == pytest.approx(target[s], rel=0.01)
     again = {(r["doc_id"], r["taken"]) for r in rows_of(spark, "op7_mixing")}
     assert again == {(r["doc_id"], r["taken"]) for r in rows}
