@@ -47,7 +47,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-# models, tokens and suffixes are beyond SQL; tests hold the stages against plain versions
+# models, tokens and suffixes are beyond SQL; tests/llm/test_pipeline.py holds each stage against a plain version
 ORACLE_SQL = None
 
 
