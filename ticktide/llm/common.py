@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticktide import session
+
 SPACES = " \t\n\x0b\x0c\r"
 #: Most rows that a narrow side may have to be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -29,6 +31,22 @@ def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= rows else small
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that travel to Python at once: whole texts are wide, and Spark's own number is made for narrow rows.
+ROWS_AT_ONCE = 1024
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """As :func:`ticktide.session.written`, with batches of at most ROWS_AT_ONCE rows for the Python in ``df``."""
+    conf = df.sparkSession.conf
+    before = conf.get(ARROW_ROWS)
+    conf.set(ARROW_ROWS, str(min(int(before), ROWS_AT_ONCE) if int(before) > 0 else ROWS_AT_ONCE))
+    try:
+        return session.written(df, name)
+    finally:
+        conf.set(ARROW_ROWS, before)
+
+
 ROW = "_row"
 
 
