@@ -225,7 +225,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE) -
     lengths = np.array([len(f) for f in feature])
     at = np.concatenate(([0], np.cumsum(lengths)))
     x = Sparse(at, feature.flatten().to_numpy(), rows["value"].combine_chunks().flatten().to_numpy())
-    return machine.fit(x, (rows["y"].to_numpy() > 0).astype(np.float32))
+    machine.fit(x, (rows["y"].to_numpy() > 0).astype(np.float32))
+    del x, feature, rows
+    pa.default_memory_pool().release_unused()  # the driver goes on to other work
+    return machine
 
 
 def _numbers(column: pa.Array) -> np.ndarray:
