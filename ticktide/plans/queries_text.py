@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticktide.functions import text as X
+from ticktide.functions.segment import segment
 from ticktide.operators import embedding as B
 from ticktide.operators import panel as P
 from ticktide.operators import tfidf as T
@@ -80,6 +81,27 @@ def tfidf_daily_dataset(t: Tables) -> DataFrame:
     return out.select("Stock", "Target_Date", "Open", "Prev_Close", "Target_Label", "n_news", shown.alias("tfidf"))
 
 
+# ---- text without blanks ------------------------------------------------------------
+
+
+def run_together(t: Tables) -> DataFrame:
+    """All cleaned titles without their blanks, and their words as the vocabulary of the articles finds them."""
+    terms = T.tfidf_fit(train_part(articles_once(t))).select("term").collect()  # bounded by MAX_TERMS
+    titles = t.titles().select("id", F.replace(X.clean_title(F.col("Title")), F.lit(" "), F.lit("")).alias("text"))
+    return titles.withColumn("words", segment(F.col("text"), [x.term for x in terms if " " not in x.term], "[^ ]"))
+
+
+@query("p5_segmented_tokens")
+def segmented_tokens(t: Tables) -> DataFrame:
+    return run_together(t).select("id", X.filter_tokens(F.col("words"), STOPPED).alias("kept"))
+
+
+@query("p5_segmented_facts", with_views("clean", "SELECT id, CAST(length(replace(clean, ' ', '')) AS BIGINT) AS chars, 1 AS whole FROM clean"))
+def segmented_facts(t: Tables) -> DataFrame:
+    whole = F.replace("words", F.lit(" "), F.lit("")) == F.col("text")
+    return run_together(t).select("id", F.length("text").cast("long").alias("chars"), whole.cast("int").alias("whole"))
+
+
 # ---- embedding ----------------------------------------------------------------------
 
 
