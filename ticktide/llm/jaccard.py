@@ -4,8 +4,8 @@ A text is the set of its runs of WORDS words (fewer words: one run of all). In e
 DEPTH minimum hashes, packed into 64 bits so that sorted labels are the tree's prefix trie: BITS of the first hash, then
 STEP of each further one. All trees start at full depth. As long as a pair exactly at the threshold would share a prefix
 in some tree with less than the target recall, one tree's prefixes are shortened by a hash: the tree where that raises
-the recall most for the pairs it adds, as counted on a sample of the trie's nodes. The sample steers the order only; the
-recall is that of the lengths reached, whatever the data. No text's partners are cut off by number. Texts with equal
+the recall most for the pairs it adds, as counted over all nodes of the tries. The counts steer the order only; the recall
+is that of the lengths reached, whatever the data. No text's partners are cut off by number. Texts with equal
 sets are one member, whatever their number.
 
 Members below one prefix form a bucket. Buckets are dealt in tiles: members fall into blocks of some BLOCK, and each
@@ -39,8 +39,6 @@ DEPTH = 6
 RECALL = 0.9999
 BLOCK = 512
 BITS, STEP = 24, 8
-#: One in so many nodes of the tries is counted to see what shorter prefixes cost.
-NODES = 16
 
 _RNG = np.random.default_rng(11)
 _MULTIPLY = _RNG.integers(1, 1 << 63, TREES * DEPTH).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,14 +148,13 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def trie_pairs(members: DataFrame) -> dict[tuple[int, int], float]:
-    """Estimated pairs that share a prefix, by tree and length, from one in NODES of the nodes of one hash."""
+    """Pairs that share a prefix, by tree and length, counted over all nodes."""
     each = members.select(F.posexplode("labels").alias("tree", "label"))
-    drawn = each.filter(F.pmod(F.xxhash64("tree", F.shiftrightunsigned("label", STEP * (DEPTH - 1))), F.lit(NODES)) == 0)
     lengths = F.explode(F.array(*[F.struct(F.lit(n).alias("length"), F.shiftrightunsigned("label", STEP * (DEPTH - n)).alias("prefix")) for n in range(1, DEPTH + 1)]))
-    sizes = drawn.select("tree", lengths.alias("node")).groupBy("tree", "node.length", "node.prefix").agg(F.count("*").cast("double").alias("n"))
+    sizes = each.select("tree", lengths.alias("node")).groupBy("tree", "node.length", "node.prefix").agg(F.count("*").cast("double").alias("n"))
     # a row per tree and length
-    found = sizes.groupBy("tree", "length").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).collect()
-    return {(r["tree"], r["length"]): NODES * r["pairs"] for r in found}
+    found = sizes.filter("n > 1").groupBy("tree", "length").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).collect()
+    return {(r["tree"], r["length"]): r["pairs"] for r in found}
 
 
 def prefixes(members: DataFrame, lengths: list[int]) -> DataFrame:
