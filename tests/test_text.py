@@ -23,6 +23,17 @@ def test_clean_title(spark, given, want):
     assert one(spark, given, X.clean_title) == want
 
 
+def test_every_character_is_cleaned_as_by_the_plain_classes(spark):
+    wanted = [c for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(f"a{chr(c)}{chr(c)} {chr(c)}b {chr(c)}",) for c in wanted], "t string")
+    bare = F.regexp_replace(F.lower("t"), X.NOT_WORD, "")
+    plain = F.trim(F.regexp_replace(bare, f"[{X.SPACE}]+", " "))
+    words = X.filter_tokens(plain, ["ab"])
+    text = F.lower("t")
+    odd = rows.filter((X.squeeze(F.regexp_replace(text, X._NOT_WORD, "")) != plain) | (X.clean_tokens(F.col("t"), ["ab"]) != words))
+    assert odd.count() == 0
+
+
 def test_clean_title_serving_falls_back(spark):
     for given in (None, "  ", "!!! - x", "<i></i>"):
         assert one(spark, given, X.clean_title_serving) == X.BLANK_HEADLINE

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -43,6 +44,27 @@ def test_fit_and_transform(articles):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("most, words", [(3, 100_000), (40, 100_000), (400, 100_000), (40, 5)])
+def test_fit_equals_counts_of_all_grams(spark, monkeypatch, most, words):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["up", "Up", "down", "x", "", "ขึ้น", "ß", "İn"] + [f"w{k * k % 60}" for k in range(60)], k=rng.randint(0, 40))) for _ in range(150)]
+    texts += ["new york"] * 40 + ["often " * 30, None, "", "a"]
+    articles = spark.createDataFrame([(t,) for t in texts], "Processed string")
+    monkeypatch.setattr(T, "PART_BYTES", 500)
+    monkeypatch.setattr(T, "MAX_WORDS", words)
+    every = T.ngram_counts(articles).groupBy("term").agg(F.count("tf").alias("df"), F.sum("tf").alias("cf")).collect()
+    per = sorted(((r.term, r.df, r.cf) for r in every if 2 <= r.df <= 0.85 * len(texts)), key=lambda r: (-r[2], r[0]))[:most]
+    assert sorted(per) == sorted((r.term, r.df, r.cf) for r in T.tfidf_fit(articles, max_terms=most).collect())
+    assert any(" " in t for t, _, _ in per) or most == 3
+
+
+def test_pairs_with_a_rare_word_are_not_counted(spark):
+    articles = spark.createDataFrame([("up down",)] * 3 + [("up one", ), ("two down",)], "Processed string")
+    fits = (F.col("df") >= 2) & (F.col("df") <= 5)
+    got = {(r.term, r.df, r.cf) for r in T._candidates(articles, "Processed", 2, fits).collect()}
+    assert got == {("up", 4, 4), ("down", 4, 4), ("one", 1, 1), ("two", 1, 1), ("up down", 3, 3)}
+
+
 def test_embedding_cache_embeds_only_new_texts(spark):
     rows = spark.createDataFrame([(1, "up"), (2, "up"), (3, "down"), (4, ""), (5, None)], "news_id long, Processed_Title string")
     known = spark.createDataFrame([("up", [9.0] * 8)], "text string, vec array<double>").withColumn("key", B.text_key(F.col("text")))

@@ -13,6 +13,10 @@ SPACE = r"\t\n\x0b\f\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 NOT_WORD = rf"[^\p{{L}}\p{{N}}_\x{{0e01}}-\x{{0e59}}{SPACE}]"
 TAG = r"<[^>]+>"
 URL = rf"https?://[^{SPACE}]+"
+# NOT_WORD and white space other than blanks for Spark's engine: what most characters are is told by one cheap look ahead,
+# before the long class is tried. They match the same characters.
+_NOT_WORD = r"(?![ a-z0-9])" + NOT_WORD
+_NOT_BLANK = rf"(?![ -~])[{SPACE}]"
 LEGACY_TAG = r"<[^\n]*?>"
 LEGACY_URL = rf"http[^{SPACE}]+|www[^{SPACE}]+"
 
@@ -45,15 +49,29 @@ def drop_sources(text: Column) -> Column:
     return before_last(before_last(text, " - "), " | ")
 
 
+def blanks(text: Column) -> Column:
+    """Every white space character as a blank."""
+    return F.regexp_replace(text, _NOT_BLANK, " ")
+
+
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(blanks(text), "  +", " "))
 
 
-def clean_title(title: Column) -> Column:
+def _cleaned(title: Column) -> Column:
     text = F.lower(drop_sources(F.coalesce(title, F.lit(""))))
     text = F.regexp_replace(text, TAG, "")
     text = F.regexp_replace(text, URL, "")
-    return squeeze(F.regexp_replace(text, NOT_WORD, ""))
+    return F.regexp_replace(text, _NOT_WORD, "")
+
+
+def clean_title(title: Column) -> Column:
+    return squeeze(_cleaned(title))
+
+
+def clean_tokens(title: Column, stopwords: Sequence[str]) -> Column:
+    """``filter_tokens(clean_title(title), stopwords)``; empty tokens drop out, so blanks need not be squeezed before."""
+    return filter_tokens(blanks(_cleaned(title)), stopwords)
 
 
 def or_blank_headline(text: Column) -> Column:
@@ -65,7 +83,7 @@ def clean_title_serving(title: Column, stopwords: Sequence[str] = ()) -> Column:
     given = or_blank_headline(squeeze(F.coalesce(title, F.lit(""))))
     text = F.lower(drop_sources(F.when(given == BLANK_HEADLINE, given).otherwise(title)))
     text = F.regexp_replace(text, f"{TAG}|{URL}", "")
-    text = squeeze(F.regexp_replace(text, NOT_WORD, ""))
+    text = squeeze(F.regexp_replace(text, _NOT_WORD, ""))
     return or_blank_headline(filter_tokens(text, stopwords) if stopwords else text)
 
 
@@ -73,7 +91,7 @@ def clean_title_legacy(title: Column) -> Column:
     text = F.lower(drop_sources(F.coalesce(title, F.lit(""))))
     text = F.regexp_replace(text, LEGACY_TAG, "")
     text = F.regexp_replace(text, LEGACY_URL, "")
-    text = F.regexp_replace(text, NOT_WORD, "")
+    text = F.regexp_replace(text, _NOT_WORD, "")
     return squeeze(F.translate(text, "\n\r", " "))
 
 

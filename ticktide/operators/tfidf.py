@@ -3,18 +3,27 @@
 Terms are split at white space. Counting happens inside the row (sorted grams, run
 lengths), so the grams of an article never travel; what is shuffled are term totals,
 summed per task first. Weights and their length are worked out inside the row too.
+The fit counts words first, over arrays, and then only those pairs that can be terms.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticktide.operators import panel as P
+from ticktide.session import written
 
 MAX_TERMS, MIN_DF, MAX_DF = 400, 2, 0.85
+#: Most words whose pairs are counted by number; with more of them the grams of all words are counted as text.
+MAX_WORDS = 100_000
+#: Bytes of text that a task turns into arrays at once; a longer text is taken whole.
+PART_BYTES = 4 << 20
 
 
 def word_tokens(text: Column) -> Column:
@@ -60,14 +69,85 @@ def ngram_counts(articles: DataFrame, text: str = "Processed", *keep: str) -> Da
     return articles.select(*keep, F.inline_outer(entries)).filter(F.col("term").isNotNull())
 
 
+_TOTALS = "term string, df long, cf long"
+
+
+def _words(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Row and word of all words of at least two characters, some PART_BYTES of text at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + PART_BYTES, "right")))
+        lists = pc.split_pattern(texts.slice(first, last - first), " ")
+        row, word = pc.list_parent_indices(lists), pc.list_flatten(lists)
+        long_ = pc.greater_equal(pc.utf8_length(word), 2)
+        yield row.filter(long_).to_numpy(), word.filter(long_)
+        first = last
+
+
+def _totals(row: np.ndarray, gram: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers of ``gram``, all less than ``below``, in how many rows each is, and how often."""
+    both, tf = np.unique(row.astype(np.int64) * below + gram, return_counts=True)
+    found, of = np.unique(both % below, return_inverse=True)
+    return found, np.bincount(of, minlength=len(found)), np.bincount(of, tf, len(found)).astype(np.int64)
+
+
+def _table(term: pa.Array, df: np.ndarray, cf: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([term, pa.array(df, pa.int64()), pa.array(cf, pa.int64())], ["term", "df", "cf"])
+
+
+def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, word in _words(batch.column(0)):
+            if len(word):
+                coded = word.dictionary_encode()
+                found, df, cf = _totals(row, coded.indices.to_numpy(), len(coded.dictionary))
+                yield _table(coded.dictionary.take(pa.array(found)), df, cf)
+
+
+def _pair_totals(known: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Totals of neighbouring words that are both ``known``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pa.array(known, batch.column(0).type)
+            for row, word in _words(batch.column(0)):
+                number = pc.fill_null(pc.index_in(word, value_set=names), -1).to_numpy().astype(np.int64)
+                at = np.flatnonzero((row[1:] == row[:-1]) & (number[1:] >= 0) & (number[:-1] >= 0))
+                if len(at):
+                    found, df, cf = _totals(row[at], number[at] * len(known) + number[at + 1], len(known) ** 2)
+                    a, b = (names.take(pa.array(x)) for x in np.divmod(found, len(known)))
+                    yield _table(pc.binary_join_element_wise(a, b, " "), df, cf)
+
+    return count
+
+
+def _candidates(train: DataFrame, text: str, max_terms: int, fits: Column) -> DataFrame:
+    """(term, df, cf) of all grams that can be among the ``max_terms`` most frequent ones that ``fits``, and of others.
+
+    A pair comes at most as often as either of its words, and ``max_terms`` words that fit are as good as terms. So a pair
+    of which one word comes less often than the last of these words can't be a term, and isn't counted.
+    """
+    lowered = train.select(F.lower(text).alias("text"))
+    total = lambda df: df.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    words = written(total(lowered.mapInArrow(_word_totals, _TOTALS)), "words")
+    best = [x.cf for x in words.filter(fits).orderBy(F.desc("cf")).limit(max_terms).select("cf").collect()]
+    least = best[-1] if 0 < max_terms == len(best) else 1
+    known = [x.term for x in words.filter(F.col("cf") >= least).select("term").limit(MAX_WORDS + 1).collect()]
+    if len(known) > MAX_WORDS:
+        return ngram_counts(train, text).groupBy("term").agg(F.count("tf").alias("df"), F.sum("tf").alias("cf"))
+    return words.unionByName(total(lowered.mapInArrow(_pair_totals(known), _TOTALS)))
+
+
 def tfidf_fit(
     train: DataFrame, text: str = "Processed", max_terms: int = MAX_TERMS, min_df: int = MIN_DF, max_df: float = MAX_DF
 ) -> DataFrame:
     """Vocabulary (term, df, cf, idf) of the train articles; at most ``max_terms`` rows."""
     n = train.agg(F.count(F.lit(1)).alias("n")).scalar()
-    totals = ngram_counts(train, text).groupBy("term").agg(F.count("tf").alias("df"), F.sum("tf").alias("cf"))
+    fits = (F.col("df") >= min_df) & (F.col("df") <= n * F.lit(float(max_df)))
     return (
-        totals.filter((F.col("df") >= min_df) & (F.col("df") <= n * F.lit(float(max_df))))
+        _candidates(train, text, max_terms, fits).filter(fits)
         .orderBy(F.desc("cf"), F.asc("term"))
         .limit(max_terms)
         .withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0)

@@ -22,7 +22,7 @@ from ticktide.sources.tables import Tables
 
 
 def articles(t: Tables, stopped: Sequence[str] = STOPPED_TFIDF) -> DataFrame:
-    words = X.filter_tokens(X.clean_title(F.col("Title")), stopped)
+    words = X.clean_tokens(F.col("Title"), stopped)
     return kept_news(t).select("news_id", "Stock", "Target_Date", words.alias("Processed"))
 
 
