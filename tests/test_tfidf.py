@@ -65,6 +65,25 @@ def test_pairs_with_a_rare_word_are_not_counted(spark):
     assert got == {("up", 4, 4), ("down", 4, 4), ("one", 1, 1), ("two", 1, 1), ("up down", 3, 3)}
 
 
+@pytest.mark.parametrize("part", [1, 300, 4 << 20])
+def test_transform_looks_up_words_over_arrays(spark, monkeypatch, part):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["up", "Up", "down", "x", "", "ขึ้น", "ß"] + [f"w{k}" for k in range(9)], k=rng.randint(0, 30))) for _ in range(80)] + [None, "", "a", "none of these"]
+    articles = spark.createDataFrame([(i // 2 or None, ("A", None)[i % 2], t) for i, t in enumerate(texts)], "news_id long, Stock string, Processed string")
+    idf = {"up": 1.5, "down": 2.0, "up down": 3.0, "ขึ้น ß": 1.0, "ขึ้น": 1.25, "w1 w2": 2.5, "w3 up": 1.75, "a b": 9.0, "x": 9.0, "up  up": 9.0, "up up up": 9.0, "": 9.0, "never": 9.0}
+    vocabulary = spark.createDataFrame(list(idf.items()), "term string, idf double")
+    monkeypatch.setattr(T, "PART_BYTES", part)
+    found = T.tfidf_transform(articles, vocabulary, "Processed", "news_id", "Stock")
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    want = []
+    for i, text in enumerate(texts):
+        w = {t: (1 + math.log(n)) * idf[t] for t, n in counts(text or "").items() if t in idf}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        want += [(i // 2 or None, ("A", None)[i % 2], t, round(x / size, 12)) for t, x in w.items()]
+    assert Counter((r.news_id, r.Stock, r.term, round(r.weight, 12)) for r in found.collect()) == Counter(want)
+    assert T.tfidf_transform(articles, vocabulary.limit(0)).schema.simpleString() == T.tfidf_transform(articles, vocabulary).schema.simpleString()
+
+
 def test_embedding_cache_embeds_only_new_texts(spark):
     rows = spark.createDataFrame([(1, "up"), (2, "up"), (3, "down"), (4, ""), (5, None)], "news_id long, Processed_Title string")
     known = spark.createDataFrame([("up", [9.0] * 8)], "text string, vec array<double>").withColumn("key", B.text_key(F.col("text")))

@@ -3,7 +3,8 @@
 Terms are split at white space. Counting happens inside the row (sorted grams, run
 lengths), so the grams of an article never travel; what is shuffled are term totals,
 summed per task first. Weights and their length are worked out inside the row too.
-The fit counts words first, over arrays, and then only those pairs that can be terms.
+The fit counts words first, over arrays, and then only those pairs that can be terms;
+the transform looks up words and pairs of the vocabulary over arrays as well.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ticktide.operators import panel as P
 from ticktide.session import written
@@ -70,10 +72,11 @@ def ngram_counts(articles: DataFrame, text: str = "Processed", *keep: str) -> Da
 
 
 _TOTALS = "term string, df long, cf long"
+_ENTRIES = ArrayType(StructType([StructField("term", StringType()), StructField("weight", DoubleType())]))
 
 
 def _words(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    """Row and word of all words of at least two characters, some PART_BYTES of text at once."""
+    """Row and word of all words of at least two characters, of some PART_BYTES of text at once; later rows come in later parts."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
     first = 0
     while first < len(texts):
@@ -82,7 +85,7 @@ def _words(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
         lists = pc.split_pattern(texts.slice(first, last - first), " ")
         row, word = pc.list_parent_indices(lists), pc.list_flatten(lists)
         long_ = pc.greater_equal(pc.utf8_length(word), 2)
-        yield row.filter(long_).to_numpy(), word.filter(long_)
+        yield row.filter(long_).to_numpy().astype(np.int64) + first, word.filter(long_)
         first = last
 
 
@@ -154,28 +157,54 @@ def tfidf_fit(
     )
 
 
+def _weights_of(terms: list[str], idf: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The last column, lower-cased texts, as lists of (term, weight) in order of ``terms``, which are sorted."""
+    parts = [t.split(" ") for t in terms]
+    known = sorted({w for p in parts for w in p})
+    place = {w: i for i, w in enumerate(known)}
+    # numbers of words and of pairs of words that are terms; the words of a text hold no blanks, so there are no other terms
+    codes = np.array([place[p[0]] if len(p) == 1 else len(known) * (place[p[0]] + 1) + place[p[1]] if len(p) == 2 else -1 for p in parts])
+    order = np.argsort(codes, kind="stable")
+
+    def hits(row: np.ndarray, code: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(codes, code, sorter=order).clip(0, len(order) - 1)
+        found = (codes[order[at]] == code) & (code >= 0)
+        return row[found] * len(terms) + order[at[found]]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *others, texts = batch.columns
+            names, all_terms = pa.array(known, texts.type), pa.array(terms, pa.string())
+            found = [np.zeros(0, np.int64)]
+            for row, word in _words(texts):
+                number = pc.fill_null(pc.index_in(word, value_set=names), -1).to_numpy().astype(np.int64)
+                at = np.flatnonzero((row[1:] == row[:-1]) & (number[1:] >= 0) & (number[:-1] >= 0))
+                found += [hits(row, number), hits(row[at], len(known) * (number[at] + 1) + number[at + 1])]
+            both, tf = np.unique(np.concatenate(found), return_counts=True)
+            row, term = np.divmod(both, len(terms))
+            raw = (np.log(tf) + 1.0) * idf[term]
+            weight = raw / np.sqrt(np.bincount(row, raw * raw, batch.num_rows))[row]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows))))
+            entries = pa.StructArray.from_arrays([all_terms.take(pa.array(term)), pa.array(weight)], ["term", "weight"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+            yield pa.RecordBatch.from_arrays([*others, lists], [*batch.schema.names[:-1], "entries"])
+
+    return weigh
+
+
 def tfidf_transform(articles: DataFrame, vocabulary: DataFrame, text: str = "Processed", key: str = "news_id", *keep: str) -> DataFrame:
     """(key, ``keep``..., term, weight): sublinear tf times idf, unit length per article; nothing is shuffled.
 
-    The vocabulary is bounded by ``max_terms``, so its rows become part of the plan. Other grams
-    drop out inside the row before they are sorted.
+    The vocabulary is bounded by ``max_terms``, so its rows travel to every task. Other grams drop out before they are counted.
     """
-    known = [(x.term, x.idf) for x in vocabulary.select("term", "idf").collect()]
+    known = sorted((x.term, x.idf) for x in vocabulary.select("term", "idf").collect())
+    given = articles.select(key, *keep)
     if not known:
-        none = articles.filter(F.lit(False))
-        return none.select(key, *keep, F.lit("").alias("term"), F.lit(0.0).alias("weight"))
-    terms = [t for t, _ in known]
-    idf = F.map_from_arrays(F.lit(terms), F.lit([i for _, i in known]))
-    entries = run_lengths(F.filter(grams(word_tokens(F.col(text))), lambda g: g.isin(terms)))
-    raw = F.transform(
-        entries, lambda e: F.struct(e["term"].alias("term"), ((F.log(e["tf"].cast("double")) + 1.0) * idf[e["term"]]).alias("w"))
-    )
-
-    def of_unit_length(found: Column) -> Column:
-        size = F.sqrt(F.aggregate(found, F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
-        return let(size, lambda s: F.transform(found, lambda e: F.struct(e["term"].alias("term"), (e["w"] / s).alias("weight"))))
-
-    return articles.select(key, *keep, F.inline(let(raw, of_unit_length)))
+        return given.filter(F.lit(False)).select("*", F.lit("").alias("term"), F.lit(0.0).alias("weight"))
+    weigh = _weights_of([t for t, _ in known], np.array([i for _, i in known], float))
+    schema = StructType([*given.schema.fields, StructField("entries", _ENTRIES)])
+    found = articles.select(key, *keep, F.lower(text).alias("entries")).mapInArrow(weigh, schema)
+    return found.select(key, *keep, F.inline("entries"))
 
 
 def top_idf_terms(vocabulary: DataFrame, n: int = 20) -> DataFrame:

@@ -11,6 +11,7 @@ from ticktide.operators import models as L
 from ticktide.operators import margins, recurrent, trees
 from ticktide.operators import panel as P
 from ticktide.operators import tfidf as T
+from ticktide.plans.dataset import modelling_panel
 from ticktide.plans.queries_panel import panel, panel_once
 from ticktide.plans.queries_quality import POINTS, quality, row_key
 from ticktide.plans.queries_text import articles_once, train_part
@@ -116,10 +117,13 @@ def kernel_report(scored: DataFrame) -> DataFrame:
 def two_kinds(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Reports of forest and kernel margins on daily TF-IDF vectors and on daily mean vectors, prices beside both."""
     words = articles_once(t)
+    prices = t.once("prices", t.prices)
     vocabulary = written(T.tfidf_fit(train_part(words)), "vocabulary")
-    sparse = T.tfidf_panel(words, P.label_open_direction(t.prices()), vocabulary)
+    sparse = T.tfidf_panel(words, P.label_open_direction(prices), vocabulary)
     tfidf = P.enough_rows(written(T.dense_terms(sparse, vocabulary), "tfidf_panel"), 80)
-    dense = gated_panel(t, 80)
+    # the articles are the news that is kept, on the days that it aims at
+    kept = words.select("news_id", "Stock", F.col("Target_Date").alias("Date"))
+    dense = P.enough_rows(written(modelling_panel(kept, t.doc_vec(), prices, shift_days=0, unique=True)), 80)
     plain = L.plain_features(tfidf, prices=True)
     deep = L.fit_forest(plain, 300, L.DEEP_FOREST, "split <> 'test'", sample=1.0)
     ready, _ = L.forest_features(dense)
