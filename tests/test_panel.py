@@ -10,6 +10,7 @@ from ticktide.operators import metrics as M
 from ticktide.operators import models as L
 from ticktide.operators import panel as P
 from ticktide.operators import scaling as S
+from ticktide.plans.dataset import modelling_panel
 
 DAY = dt.date(2024, 1, 1)
 
@@ -123,3 +124,16 @@ def test_lagged_prices(spark):
     df = df.withColumns({c: F.col("Open") + 10 for c in P.PRICE_COLUMNS if c != "Open"})
     got = L.lagged_prices(df).orderBy("Target_Date").collect()
     assert [(r.Target_Date, r.Open, r.Close) for r in got] == [(DAY + dt.timedelta(1), 0.0, 10.0), (DAY + dt.timedelta(2), 1.0, 11.0)]
+
+
+def test_kept_news_need_no_title(spark):
+    news = spark.createDataFrame(
+        [(1, "A", "2024-01-01", "up"), (2, "A", "2024-01-01", "up"), (3, "A", "2024-01-01", "down"), (3, "A", "2024-01-01", "down"), (4, None, "2024-01-01", None)],
+        "news_id long, Stock string, Date string, Title string",
+    )
+    vec = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 5)], "news_id long, vec array<double>")
+    prices = spark.createDataFrame([("A", f"2024-01-0{k}", 1.0, 2.0, 1.0, 2.0, 9.0) for k in (1, 2, 3)], "Stock string, Date string, Open double, High double, Low double, Close double, Volume double")
+    prices = prices.withColumn("Date", F.to_date("Date"))
+    kept = P.shift_target_date(P.dedup_news(news)).select("news_id", "Stock", F.col("Target_Date").alias("Date"))
+    got = modelling_panel(kept, vec, prices, shift_days=0, unique=True).collect()
+    assert got == modelling_panel(news, vec, prices).collect() and [(r.n_news, r.vec) for r in got] == [(3, [7 / 3, 1.0])]
